@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_trie, line_dedup, packing, quality, token_counts, url_filter
+from . import bpe_trie, line_dedup, packing, quality, simhash, token_counts, url_filter
 from .common import table
 
 #: The rules that every url is held against.
@@ -119,6 +119,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe_trie.encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
     n_tokens = (F.octet_length("ids") / 4).cast("long")
@@ -131,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_line_dedup": op7_line_dedup,
     "op8_token_counts": op8_token_counts,
+    "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_bpe_codec": op10_bpe_codec,
 }
 ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op2_quality_rules": OP2_SQL, "op7_line_dedup": OP7_SQL}
