@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_trie, line_dedup, packing, quality, simhash, token_counts, url_filter, weighted_sampling
+from . import bpe_trie, line_dedup, packing, pii, quality, simhash, token_counts, url_filter, weighted_sampling
 from .common import table
 
 #: The rules that every url is held against.
@@ -94,6 +94,16 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_email to n_phone count the spans of the fixed patterns, as base_sha256 lists them; spans holds all."""
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["by"] == "pattern")
+    found = found.withColumn("base", base)
+    of_kind = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    counts = [of_kind(k).alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
@@ -137,6 +147,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_quality_rules": op2_quality_rules,
+    "op4_pii": op4_pii,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_fingerprints": op6_fingerprints,
     "op7_line_dedup": op7_line_dedup,
