@@ -61,3 +61,17 @@ def words(text: Column) -> Column:
 def spread(n_rows: int, per_part: int, least: int = 1) -> int:
     """A number of partitions or shards that grows with the rows."""
     return max(least, -(-n_rows // per_part))
+
+
+#: Rows of a lookup table that are broadcast at most.
+BROADCAST_ROWS = 100_000
+SALTS = 64
+
+
+def salted_left_join(rows: DataFrame, small: DataFrame, key: str, n_small: int) -> DataFrame:
+    """Left join on `key`: by broadcast if `small` has a proven size, else shuffled, with the rows of a key spread
+    over salts (of the column _row) and `small` repeated for each salt."""
+    if n_small <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(small), key, "left")
+    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int")).join(salted, [key, "_salt"], "left").drop("_salt")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_trie, line_dedup, packing, pii, quality, simhash, token_counts, url_filter, weighted_sampling
+from . import bpe_trie, license_scan, line_dedup, packing, pii, quality, simhash, token_counts, url_filter, weighted_sampling
 from .common import table
 
 #: The rules that every url is held against.
@@ -94,6 +94,46 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def document_paths(docs: DataFrame) -> DataFrame:
+    """A path for each document: source/lang/group/file, every 64th being a LICENSE file of its group, language or source."""
+    number = F.col("doc_id")
+    root, lang, group = F.col("source"), F.concat_ws("/", "source", "lang"), F.concat_ws("/", "source", "lang", F.expr("doc_id div 256").cast("string"))
+    path = F.when(number % 512 == 0, F.concat(root, F.lit("/LICENSE"))).when(number % 256 == 0, F.concat(lang, F.lit("/LICENSE"))).when(number % 64 == 0, F.concat(group, F.lit("/LICENSE")))
+    return docs.select("doc_id", "text", path.otherwise(F.concat(group, F.lit("/"), number.cast("string"), F.lit(".txt"))).alias("path"))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(document_paths(table(spark, sf_dir, "documents")), keep=["doc_id"])
+
+
+OP3_SQL = r"""
+WITH t(k, license, txt) AS (VALUES TEMPLATES),
+tt AS (SELECT k, unnest(regexp_extract_all(lower(txt), '[a-z0-9]+')) AS term FROM t),
+tf AS (SELECT k, term, count(*) AS n FROM tt GROUP BY 1, 2),
+idf AS (SELECT term, ln((1.0 + (SELECT count(*) FROM t)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY 1),
+tw AS (SELECT k, term, n * idf AS w FROM tf JOIN idf USING (term)),
+tn AS (SELECT k, sqrt(sum(w * w)) AS norm FROM tw GROUP BY 1),
+f AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text,
+  CASE WHEN doc_id % 512 = 0 THEN source || '/LICENSE' WHEN doc_id % 256 = 0 THEN source || '/' || lang || '/LICENSE'
+    WHEN doc_id % 64 = 0 THEN source || '/' || lang || '/' || (doc_id // 256) || '/LICENSE'
+    ELSE source || '/' || lang || '/' || (doc_id // 256) || '/' || doc_id || '.txt' END AS path FROM documents),
+p AS (SELECT rid, unnest(CASE WHEN path LIKE '%/LICENSE' THEN list_append(string_split(text, chr(10)), text) ELSE string_split(text, chr(10)) END) AS part,
+  unnest(range(1, len(string_split(text, chr(10))) + 1 + CAST(path LIKE '%/LICENSE' AS INT))) AS line FROM f),
+w AS (SELECT rid, line, unnest(regexp_extract_all(translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+')) AS term FROM p),
+c AS (SELECT rid, line, term, count(*) * coalesce(any_value(idf), ln(1.0 + (SELECT count(*) FROM t)) + 1) AS wt FROM w LEFT JOIN idf USING (term) GROUP BY 1, 2, 3),
+n AS (SELECT rid, line, sqrt(sum(wt * wt)) AS norm FROM c GROUP BY 1, 2),
+d AS (SELECT rid, line, k, sum(wt * w) AS dot FROM c JOIN tw USING (term) GROUP BY 1, 2, 3),
+s AS (SELECT rid, k, round(dot / n.norm / tn.norm, 6) AS score FROM d JOIN n USING (rid, line) JOIN tn USING (k)),
+own AS (SELECT rid, k, score FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, k) AS r FROM s WHERE score >= 0.75) WHERE r = 1),
+g AS (SELECT f.*, own.k, own.score, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM f LEFT JOIN own USING (rid)),
+dl AS (SELECT dir AS above, k AS dk, score AS ds FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY score DESC, k) AS r FROM g WHERE path LIKE '%/LICENSE' AND k IS NOT NULL) WHERE r = 1),
+near AS (SELECT rid, above, dk, ds FROM (SELECT rid, above, dk, ds, row_number() OVER (PARTITION BY rid ORDER BY length(above) DESC) AS r
+  FROM g JOIN dl ON g.dir = dl.above OR starts_with(g.dir, dl.above || '/') OR dl.above = '') WHERE r = 1)
+SELECT doc_id, path, coalesce(a.license, b.license) AS license, coalesce(score, ds) AS score, CASE WHEN g.k IS NOT NULL THEN 'file' ELSE above END AS found_in
+FROM g LEFT JOIN near USING (rid) LEFT JOIN t a ON a.k = g.k LEFT JOIN t b ON b.k = near.dk
+""".replace("TEMPLATES", ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(license_scan.TEMPLATES)))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """n_email to n_phone count the spans of the fixed patterns, as base_sha256 lists them; spans holds all."""
     found = pii.find_pii(table(spark, sf_dir, "documents"))
@@ -147,6 +187,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_quality_rules": op2_quality_rules,
+    "op3_license_scan": op3_license_scan,
     "op4_pii": op4_pii,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_fingerprints": op6_fingerprints,
@@ -155,4 +196,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_bpe_codec": op10_bpe_codec,
 }
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op2_quality_rules": OP2_SQL, "op7_line_dedup": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op2_quality_rules": OP2_SQL, "op3_license_scan": OP3_SQL, "op7_line_dedup": OP7_SQL}

@@ -16,16 +16,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, staged
+from .common import ascii_lower, salted_left_join, staged
 
 #: (verdict, host, path prefix)
 Rule = tuple[str, str, str]
 
 BITS_PER_URL = 16
 BLOCK_BITS = 256
-#: Rows of a lookup that are broadcast at most: about 40 bytes a block, 100 bytes a URL.
-BROADCAST_ROWS = 100_000
-SALTS = 64
 
 
 def host_of(url: Column) -> Column:
@@ -73,14 +70,6 @@ def bloom_blocks(listed: DataFrame, column: str, n_blocks: int) -> DataFrame:
     return listed.select(_block(key, n_blocks).alias("_block"), *masks).groupBy("_block").agg(*[F.bit_or(f"_m{j}").alias(f"_w{j}") for j in range(4)])
 
 
-def _lookup(rows: DataFrame, small: DataFrame, key: str, n_small: int) -> DataFrame:
-    """Left join on `key`; by broadcast if `small` has a proven size, else shuffled over salts."""
-    if n_small <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(small), key, "left")
-    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int")).join(salted, [key, "_salt"], "left").drop("_salt")
-
-
 def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url", listed_col: str = "url") -> DataFrame:
     """Judges every row of `pages`: id, host, path, rule, verdict, possible_hit, listed.
 
@@ -94,12 +83,12 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule], id_c
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     judged = judged.select("*", rule.alias("rule"), verdict.alias("_verdict"), canonical(F.col("host"), F.col("path")).alias("_key"))
     judged = judged.withColumn("_block", _block(F.col("_key"), n_blocks))
-    judged = _lookup(judged, bloom_blocks(keys, "_key", n_blocks), "_block", n_blocks)
+    judged = salted_left_join(judged, bloom_blocks(keys, "_key", n_blocks), "_block", n_blocks)
     inside = [F.col(f"_w{j}").bitwiseAND(m) == m for j, m in enumerate(_masks(F.col("_key")))]
     possible = F.coalesce(inside[0] & inside[1] & inside[2] & inside[3], F.lit(False))
     # Rows that the filter rules out get a key of their own, so they spread evenly and match nothing.
     judged = judged.withColumn("possible_hit", possible).withColumn("_key", F.when(F.col("possible_hit"), F.col("_key")).otherwise(F.concat(F.lit(" "), F.col("_row").cast("string"))))
-    judged = _lookup(judged, keys.withColumn("_listed", F.lit(True)), "_key", n_listed)
+    judged = salted_left_join(judged, keys.withColumn("_listed", F.lit(True)), "_key", n_listed)
     hit = F.coalesce(F.col("_listed"), F.lit(False))
     decided = F.coalesce(F.col("_verdict"), F.when(hit, F.lit("block")).otherwise(F.lit("allow")))
     return judged.select(F.col("_row").alias(id_col), "host", "path", "rule", decided.alias("verdict"), "possible_hit", hit.alias("listed"))
