@@ -2,9 +2,10 @@
 
 A 64-bit fingerprint is embedded as the bit counts of SEGMENTS segments. The Manhattan distance of two embeddings is a
 lower bound of the Hamming distance of the fingerprints, so a range join under Manhattan distance `max_bits` loses no
-link. The grid of that join is the embedding cut into PARTS groups of segments: within distance d one group differs by
-d div PARTS at most. So each distinct fingerprint stands in one home cell of each group's grid and probes the cells
-within d div PARTS of it.
+link. The grid of that join is the embedding cut into groups of segments: within distance d, one of p groups differs by
+d div p at most. So each distinct fingerprint stands in one home cell of each group's grid and probes the cells within
+d div p of it. Which segments and groups are best depends on the number of fingerprints: coarse cells need no probes
+but hold more rows. `plan_grid` weighs rows moved against pairs compared; every choice finds every link.
 
 A cell compares its rows in numpy blocks: Manhattan bound first, then exact Hamming distance. It returns a spanning
 forest of its links, at most one link a row, never its pairs. A cell with many rows (a large group of near copies) is
@@ -18,6 +19,7 @@ ids take part, but name no component unless it has no other id. Extra columns ar
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +32,12 @@ from .common import BLANKS, discard, staged
 from .components import connected_components
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 3
-#: Segments of the embedding, and groups of them that form grids.
-SEGMENTS, PARTS = 32, 2
+#: (segments of the embedding, groups of them that form grids) to choose from.
+GRIDS = [(32, 4), (32, 2), (64, 2)]
 #: Rows of a cell that one task compares with each other; a cell with more is cut into chunks of so many.
-CHUNK_ROWS = 1500
+CHUNK_ROWS = 600
+#: Microseconds to move a row through the exchange, and to compare a pair.
+ROW_COST, PAIR_COST = 2.0, 0.06
 _BLANKS = BLANKS.encode()
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _SPLIT = bytes.maketrans(_BLANKS, b" " * len(_BLANKS))
@@ -72,7 +76,20 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, id_c
 # -- the grid -----------------------------------------------------------------------------------------------------
 
 
-def embed(fps: np.ndarray, segments: int = SEGMENTS) -> np.ndarray:
+def plan_grid(n: int, max_bits: int, chunk: int = CHUNK_ROWS) -> tuple[int, int]:
+    """The cheapest of GRIDS for n fingerprints with random bits."""
+
+    def cost(segments: int, parts: int) -> float:
+        size, width = 64 // segments, segments // parts
+        alike = (comb(2 * size, size) / 4.0**size) ** width  # the chance of two to share a cell
+        probes = 1 + len(_steps(width, max_bits // parts))
+        rows = n * parts * probes * max(1.0, n * probes * 0.5 ** (size * width) * comb(size, size // 2) ** width / chunk)
+        return ROW_COST * rows + PAIR_COST * n * n / 2 * parts * probes * alike
+
+    return min(GRIDS, key=lambda grid: cost(*grid))
+
+
+def embed(fps: np.ndarray, segments: int) -> np.ndarray:
     """Bit counts of the segments, one row for each fingerprint."""
     bits = np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     return bits.reshape(len(fps), segments, -1).sum(axis=2, dtype=np.uint8)
@@ -243,18 +260,19 @@ def compare_sorted(batches: Iterator[pa.RecordBatch], max_bits: int, segments: i
         yield links(held)
 
 
-def fingerprint_links(distinct: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS, parts: int = PARTS, chunk: int = CHUNK_ROWS) -> DataFrame:
+def fingerprint_links(distinct: DataFrame, max_bits: int = MAX_BITS, grid: tuple[int, int] | None = None, chunk: int = CHUNK_ROWS) -> DataFrame:
     """Links (a, b as signed longs) whose components are those of all links within `max_bits`.
 
     `distinct`: column fp, without repeats. Cells where nobody is at home or that hold one row are dropped at once.
     """
-    grid = grid_rows(distinct, max_bits, segments, parts)
-    sizes = grid.groupBy("cell").agg(F.sum(F.col("home").cast("long")).alias("homes"), F.count("*").alias("rows")).where("homes > 0 and rows > 1")
+    segments, parts = grid or plan_grid(distinct.count(), max_bits, chunk)
+    rows = grid_rows(distinct, max_bits, segments, parts)
+    sizes = rows.groupBy("cell").agg(F.sum(F.col("home").cast("long")).alias("homes"), F.count("*").alias("rows")).where("homes > 0 and rows > 1")
     sizes = staged(sizes.select("cell", F.ceil(F.col("rows") / chunk).cast("int").alias("chunks")), "cells")
     own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     every = F.sequence(F.lit(0), F.col("chunks") - 1)
     task = F.transform(every, lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
-    tasks = grid.join(sizes, "cell").withColumn("own", own).select("cell", "fp", "home", "own", F.explode(task).alias("t")).select("cell", "t.i", "t.j", "home", "own", "fp")
+    tasks = rows.join(sizes, "cell").withColumn("own", own).select("cell", "fp", "home", "own", F.explode(task).alias("t")).select("cell", "t.i", "t.j", "home", "own", "fp")
     dealt = tasks.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "fp")
     return dealt.mapInArrow(lambda batches: compare_sorted(batches, max_bits, segments), "a long, b long")
 
@@ -268,3 +286,20 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SH
     least = staged(linked.groupBy("component").agg(F.min("least").alias("component_id")), "component-ids")
     named = staged(linked.join(least, "component").select("fp", "component_id"), "component-named")
     return found.join(named, "fp").select(id_col, "fp", "component_id")
+
+
+def keep_one_each(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near-duplicates, with all its columns: that of the smallest id.
+
+    Of several rows with that id one stays, that of the least text hash; equal ones are one row.
+    """
+    least = -(1 << 63)
+    key = [F.coalesce(F.col(id_col).cast("long"), F.lit(least)).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_hash")]
+    found = staged(near_duplicates(docs.select(*key, F.col(text_col).alias("_text")).withColumn("_who", F.struct("_id", "_hash")), max_bits, shingle, seed, "_who", "_text"), "near-duplicates")
+    stay = found.where("_who = component_id").groupBy("_who").agg(F.count("*").alias("_copies"))
+    stay = staged(stay.select(F.col("_who._id").alias("_id"), F.col("_who._hash").alias("_hash"), "_copies"), "near-duplicates-kept")
+    rows = docs.select(*key, F.struct("*").alias("_keep")).join(stay, ["_id", "_hash"])
+    if stay.where("_copies > 1").isEmpty():
+        return rows.select("_keep.*")
+    twins = rows.where("_copies > 1").groupBy("_id", "_hash").agg(F.first("_keep").alias("_keep"))
+    return rows.where("_copies = 1").select("_keep.*").unionAll(twins.select("_keep.*"))
