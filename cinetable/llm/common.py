@@ -46,7 +46,7 @@ def discard(df: DataFrame) -> None:
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluates `value` once and hands it to `body`; Catalyst never duplicates a lambda variable."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)  # of one parameter: body may have more
 
 
 def ascii_lower(text: Column) -> Column:

@@ -16,7 +16,7 @@ rows with it as one. Extra columns are dropped. Without rows there is no shard a
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import batch_of, slices
-from .common import BLANKS, discard, spread, staged
+from .common import BLANKS, spread, staged
 
 MIN_CHARS, MIN_DOCS = 20, 3
 SHARD_LINES = 16_000
@@ -203,10 +203,10 @@ def shared_lines(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     return spread_out.groupBy("_shard", "_salt").cogroup(dealt.groupBy("_shard", "_salt")).applyInArrow(probe, "_doc long, hi long, lo long")
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text (the kept lines), n_lines (before dropping) and n_dropped of every row. The id must be integral."""
+def _deduped(docs: DataFrame, min_chars: int, min_docs: int, id_col: str, text_col: str, keep: Sequence[str]) -> DataFrame:
+    """_keep (a struct of the columns `keep`), text (the kept lines), n_lines (before dropping) and n_dropped."""
     least = -(1 << 63)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(least)).alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.col(id_col).alias("_id"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(least)).alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.struct(*keep).alias("_keep"))
     drops = shared_lines(rows, min_chars, min_docs).groupBy("_doc").agg(F.collect_set(F.struct("hi", "lo")).alias("_drops"))
     out = pa.schema([("text", pa.string()), ("n_lines", pa.int64()), ("n_dropped", pa.int64())])
 
@@ -225,7 +225,19 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
                 texts.append(b"\n".join(kept).decode())
                 totals.append(len(lines))
                 dropped.append(len(lines) - len(kept))
-            yield batch_of(out.insert(0, batch.schema.field("_id")), [batch.column("_id"), texts, totals, dropped])
+            yield batch_of(out.insert(0, batch.schema.field("_keep")), [batch.column("_keep"), texts, totals, dropped])
+
+    kind = rows.schema["_keep"].dataType.simpleString()
+    return rows.join(drops, "_doc", "left").select("_keep", "_text", "_drops").mapInArrow(run, f"_keep {kind}, text string, n_lines long, n_dropped long")
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, text (the kept lines), n_lines (before dropping) and n_dropped of every row. The id must be integral."""
+    return _deduped(docs, min_chars, min_docs, id_col, text_col, [id_col]).select("_keep.*", "text", "n_lines", "n_dropped")
+
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return rows.join(drops, "_doc", "left").select("_id", "_text", "_drops").mapInArrow(run, f"_id {kind}, text string, n_lines long, n_dropped long").withColumnRenamed("_id", id_col)
+def drop_shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All columns of `docs`, the text without the shared lines."""
+    rest = [c for c in docs.columns if c != text_col]
+    done = _deduped(docs, min_chars, min_docs, id_col, text_col, rest)
+    return done.select(*[F.col("text").alias(c) if c == text_col else F.col("_keep")[c].alias(c) for c in docs.columns])

@@ -396,11 +396,10 @@ def find_spans(texts: Sequence[str], field: Field) -> list[tuple[list[Span], lis
 SPAN = "array<struct<kind:string,start:int,end:int,by:string>>"
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", redact: bool = False, keep: Sequence[str] = ()) -> DataFrame:
-    """id, columns `keep`, spans (kind, start, end, by 'pattern' or 'field') and, if asked for, redacted text."""
-    field = standard_field()
-    shared = docs.sparkSession.sparkContext.broadcast(field)
-    rows = docs.select(F.struct(id_col, *keep).alias("_keep"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+def _found(docs: DataFrame, text_col: str, redact: bool, keep: Sequence[str]) -> DataFrame:
+    """_keep (a struct of the columns `keep`), spans and, if asked for, redacted."""
+    shared = docs.sparkSession.sparkContext.broadcast(standard_field())
+    rows = docs.select(F.struct(*keep).alias("_keep"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("by", pa.string())])
     out = pa.schema([("spans", pa.list_(span))] + [("redacted", pa.string())] * redact)
     rank = {k: i for i, k in enumerate(KINDS)}
@@ -417,7 +416,18 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", re
             yield batch_of(out.insert(0, batch.schema.field("_keep")), [batch.column("_keep"), *columns[: len(out)]])
 
     kind = rows.schema["_keep"].dataType.simpleString()
-    return rows.mapInArrow(run, f"_keep {kind}, spans {SPAN}" + ", redacted string" * redact).select("_keep.*", "spans", *["redacted"] * redact)
+    return rows.mapInArrow(run, f"_keep {kind}, spans {SPAN}" + ", redacted string" * redact)
+
+
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", redact: bool = False) -> DataFrame:
+    """id, spans (kind, start, end, by 'pattern' or 'field') and, if asked for, redacted text."""
+    return _found(docs, text_col, redact, [id_col]).select("_keep.*", "spans", *["redacted"] * redact)
+
+
+def redact_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """All columns of `docs`, with the spans in the text replaced by the names of their kinds."""
+    done = _found(docs, text_col, True, [c for c in docs.columns if c != text_col])
+    return done.select(*[F.col("redacted").alias(c) if c == text_col else F.col("_keep")[c].alias(c) for c in docs.columns])
 
 
 def redacted(text: str, spans: Sequence[Span]) -> str:

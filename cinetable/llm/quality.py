@@ -119,6 +119,12 @@ def measured(df: DataFrame, names: Sequence[str], text_col: str = "text") -> Dat
     return out.withColumns({k: v() for k, v in every.items() if k in names}).drop("_words", "_lines")
 
 
+def fenced(rows: DataFrame, keep: Column) -> DataFrame:
+    """The rows where `keep` holds. The optimizer can't move this filter below the projection it stands on, where it
+    would write out every measure anew for each of its uses."""
+    return rows.withColumn("_fence", F.spark_partition_id()).where(keep & (F.col("_fence") >= 0)).drop("_fence")
+
+
 def bounded_sample(df: DataFrame) -> DataFrame:
     """About SAMPLE_ROWS rows of a few evenly spaced files; of all rows where `df` isn't read from files."""
     files = sorted({f.rpartition("/")[2] for f in df.inputFiles()})
@@ -156,21 +162,31 @@ def cascade(rules: Sequence[QualityRule]) -> Column:
     return out
 
 
-def judge_quality(docs: DataFrame, rules: Sequence[QualityRule] | None = None, text_col: str = "text", keep: Sequence[str] = ("doc_id",), measures: Sequence[str] = ()) -> DataFrame:
-    """Columns `keep`, the measures asked for, and rejected_by (null for rows to keep).
+def _judged(docs: DataFrame, rules: Sequence[QualityRule] | None, text_col: str, keep: Sequence[str], measures: Sequence[str]) -> tuple[DataFrame, Column]:
+    """Rows with _keep and the measures, and the name of the rule that rejects a row.
 
-    A measure that is not asked for is a private column of one projection, read by a single CASE branch each.
+    n_repeat_words is dear. Unless it is asked for, it is taken of those rows only that every rule before it passes.
     """
     rules = list(standard_rules() + base_rules() if rules is None else rules)
     rules = ordered(estimate(bounded_sample(docs).select(F.col(text_col).alias("text")), rules))
     rows = docs.select(F.struct(*keep).alias("_keep"), F.col(text_col).alias("text"))
     needs = {n for r in rules for n in r.needs} | set(measures)
-    late = {"n_repeat_words"} - set(measures)  # dear: only for rows that every rule before it passes
-    if late and any("n_repeat_words" in r.needs for r in rules):
-        at = next(i for i, r in enumerate(rules) if "n_repeat_words" in r.needs)
-        first = measured(rows, sorted(needs - late)).withColumn("_first", cascade(rules[:at]))
-        rows = first.withColumn("n_repeat_words", F.when(F.col("_first").isNull(), repeat_words(words(F.col("text")))))
-        verdict = F.coalesce(F.col("_first"), cascade(rules[at:]))
-    else:
-        rows, verdict = measured(rows, sorted(needs)), cascade(rules)
+    at = next((i for i, r in enumerate(rules) if "n_repeat_words" in r.needs), None)
+    if at is None or "n_repeat_words" in measures:
+        return measured(rows, sorted(needs)), cascade(rules)
+    first = measured(rows, sorted(needs - {"n_repeat_words"})).withColumn("_first", cascade(rules[:at]))
+    repeated = F.when(F.col("_first").isNull(), let(words(F.col("text")), repeat_words))
+    rows = first.withColumn("n_repeat_words", repeated)
+    return rows, F.coalesce(F.col("_first"), cascade(rules[at:]))
+
+
+def judge_quality(docs: DataFrame, rules: Sequence[QualityRule] | None = None, text_col: str = "text", keep: Sequence[str] = ("doc_id",), measures: Sequence[str] = ()) -> DataFrame:
+    """Columns `keep`, the measures asked for, and rejected_by (null for rows to keep)."""
+    rows, verdict = _judged(docs, rules, text_col, keep, measures)
     return rows.select("_keep.*", *measures, verdict.alias("rejected_by"))
+
+
+def keep_good(docs: DataFrame, rules: Sequence[QualityRule] | None = None, text_col: str = "text") -> DataFrame:
+    """The rows that no rule rejects, with all their columns."""
+    rows, verdict = _judged(docs, rules, text_col, docs.columns, ())
+    return fenced(rows.withColumn("_verdict", verdict), F.col("_verdict").isNull()).select("_keep.*")
