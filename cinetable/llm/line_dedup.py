@@ -55,10 +55,10 @@ class PerfectHash:
     """Cascade of bit arrays: a key sits in the first level where no other key shares its slot.
 
     The rank of that bit among all set bits is the key's index, so n keys have the indices 0..n-1. Keys that collide
-    in every level (none in practice) are kept in a sorted list after the others.
+    in every level (none in practice) are kept in a list after the others.
     """
 
-    def __init__(self, levels: list[np.ndarray], rest: np.ndarray) -> None:
+    def __init__(self, levels: list[np.ndarray], rest: list[tuple[int, int]]) -> None:
         self.levels, self.rest = levels, rest
         self.before = [np.concatenate([[0], np.cumsum(bits)]) for bits in levels]
         self.base = np.concatenate([[0], np.cumsum([b[-1] for b in self.before])]).astype(np.int64)
@@ -74,9 +74,7 @@ class PerfectHash:
             alone = np.bincount(at, minlength=width) == 1
             levels.append(alone)
             hi, lo = hi[~alone[at]], lo[~alone[at]]
-        rest = np.rec.fromarrays([hi, lo], names="hi,lo")
-        rest.sort()
-        return cls(levels, rest)
+        return cls(levels, list(zip(hi.tolist(), lo.tolist(), strict=True)))
 
     def index(self, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
         """The index of each key; of a key that isn't in the set any index, or -1."""
@@ -87,17 +85,17 @@ class PerfectHash:
             hit = bits[at]
             out[open_[hit]] = self.base[level] + self.before[level][at[hit]]
             open_ = open_[~hit]
-        for i in open_.tolist() if len(self.rest) else []:
-            j = int(np.searchsorted(self.rest, np.array((hi[i], lo[i]), self.rest.dtype)))
-            if j < len(self.rest) and self.rest[j] == (hi[i], lo[i]):
-                out[i] = self.base[-1] + j
+        if self.rest:
+            place = {key: self.base[-1] + k for k, key in enumerate(self.rest)}
+            for i in open_.tolist():
+                out[i] = place.get((int(hi[i]), int(lo[i])), -1)
         return out
 
     def to_bytes(self) -> bytes:
         parts = [struct.pack("<I", len(self.levels))]
         for bits in self.levels:
             parts += [struct.pack("<I", len(bits)), np.packbits(bits).tobytes()]
-        return b"".join([*parts, self.rest["hi"].tobytes() + self.rest["lo"].tobytes()])
+        return b"".join([*parts, np.array(self.rest, np.uint64).tobytes()])
 
     @classmethod
     def from_bytes(cls, data: bytes) -> PerfectHash:
@@ -107,8 +105,7 @@ class PerfectHash:
             size = -(-width // 8)
             levels.append(np.unpackbits(np.frombuffer(data, np.uint8, size, at + 4), count=width).astype(bool))
             at += 4 + size
-        hi, lo = np.frombuffer(data, np.uint64, offset=at).reshape(2, -1)
-        return cls(levels, np.rec.fromarrays([hi, lo], names="hi,lo"))
+        return cls(levels, list(map(tuple, np.frombuffer(data, np.uint64, offset=at).reshape(-1, 2).tolist())))
 
 
 # -- lines of a text ----------------------------------------------------------------------------------------------

@@ -10,10 +10,12 @@ Null and empty texts have no words. Rows are independent: ties, repeats and extr
 
 from __future__ import annotations
 
+import contextlib
 import time
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -130,7 +132,8 @@ def bounded_sample(df: DataFrame) -> DataFrame:
     files = sorted({f.rpartition("/")[2] for f in df.inputFiles()})
     if len(files) > SAMPLE_FILES and "_metadata" not in df.columns:
         picked = files[:: -(-len(files) // SAMPLE_FILES)]
-        df = df.where(F.col("_metadata.file_name").isin(picked))  # prunes the listing: other files aren't opened
+        with contextlib.suppress(AnalysisException):  # a join of files, say, has no file of its own
+            df = df.where(F.col("_metadata.file_name").isin(picked))  # prunes the listing: other files aren't opened
     return df.sample(False, min(1.0, SAMPLE_ROWS / max(1, df.count())), 17)
 
 
