@@ -83,8 +83,9 @@ class QualityRule:
 def standard_rules() -> list[QualityRule]:
     """Cleaning rules on top of the base ones: symbol noise, shouting, repeated lines, too few letters."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    upper = F.regexp_count(text, F.lit(r"\p{Lu}"))
-    letters = F.regexp_count(text, F.lit(r"\p{L}"))
+    # lengths of what runs leave behind: a count of matches would build an array of all letters
+    upper = F.length(F.regexp_replace(text, r"\P{Lu}+", ""))
+    letters = F.length(F.regexp_replace(text, r"\P{L}+", ""))
     return [
         QualityRule("symbols", F.col("n_symbols") * 10 > F.col("n_words"), ("n_symbols", "n_words")),
         QualityRule("dup_lines", (F.col("n_dup_lines") >= 2) & (F.col("n_dup_lines") * 100 > F.lit(35) * F.col("n_lines")), ("n_dup_lines", "n_lines")),
