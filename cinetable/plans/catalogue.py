@@ -1,10 +1,8 @@
-"""Registry of the library's own queries and their SQL twins."""
+"""All queries of the library and their SQL twins."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import pixel_queries, stream_queries, token_queries  # noqa: F401
+from .registry import COVERS, ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["COVERS", "ORACLE_SQL", "QUERIES"]
