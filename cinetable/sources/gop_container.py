@@ -182,9 +182,9 @@ class GopReader(DataSourceReader):
         for f in filters:
             if getattr(f, "attribute", None) == ("seq",):
                 if isinstance(f, (GreaterThan, GreaterThanOrEqual, EqualTo)):
-                    self.low = max(self.low, int(f.value))
+                    self.low = max(self.low, int(f.value) + isinstance(f, GreaterThan))
                 if isinstance(f, (LessThan, LessThanOrEqual, EqualTo)):
-                    self.high = min(self.high, int(f.value))
+                    self.high = min(self.high, int(f.value) - isinstance(f, LessThan))
             yield f
 
     def partitions(self) -> Sequence[InputPartition]:
