@@ -3,8 +3,8 @@
 A codec is a function from the packets of one closed group, in order, to its frames; it never sees another group, so
 groups are independent tasks. Frames are tight planes, chroma rounded up. Codecs are looked up by name in CODECS.
 
-Implemented: the uncompressed mode of the indexed container. Its transform-coded modes, H.264, VP8 and MPEG-1 are
-not; their packets give error rows.
+Implemented: the uncompressed and the transform-coded modes of the indexed container. H.264, VP8, AV1 and MPEG-1
+pictures are not decoded; their packets give error rows.
 """
 
 from __future__ import annotations
@@ -18,7 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.gop_container import packet_header, parse_packet_header
+from ..functions.samples import MAX_QP
 from .streams import with_groups
+from .transform_codec import State, cropped, decode_coded, encode_group
 
 FRAMES = "clip_id string, n long, pts_ns long, width int, height int, y binary, cb binary, cr binary, _error string"
 _ARROW = pa.schema([("clip_id", pa.string()), ("n", pa.int64()), ("pts_ns", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("y", pa.binary()), ("cb", pa.binary()), ("cr", pa.binary()), ("_error", pa.string())])
@@ -50,6 +52,7 @@ def encode_raw(width: int, height: int, planes: tuple[bytes, bytes, bytes], key:
 def decode_gop(packets: list[tuple[int, int, bytes]]) -> Iterator[Frame]:
     """Frames of (seq, pts_ns, data) packets of one group. The first must be a key packet."""
     size: tuple[int, int] | None = None
+    state = State()
     for n, pts, data in packets:
         h = parse_packet_header(data)
         if h["type"] == 0:
@@ -58,8 +61,15 @@ def decode_gop(packets: list[tuple[int, int, bytes]]) -> Iterator[Frame]:
             size = h["width"], h["height"]
         if size is None:
             raise ValueError("a group starts with no key packet")
+        if h["coding"] in (INTRA, INTER):
+            key, inter = h["type"] == 0, h["coding"] == INTER
+            if key and inter:
+                raise ValueError("a key packet can't be inter-coded")
+            rec = decode_coded(state, size, data[h["body_at"] :], key, inter, h["override"])
+            yield Frame(n, pts, *size, cropped(rec, *size))
+            continue
         if h["coding"] != RAW:
-            raise ValueError(f"coding mode {h['coding']} is not supported")
+            raise ValueError(f"coding mode {h['coding']}")
         luma, chroma = plane_sizes(*size)
         body = data[h["body_at"] :]
         if len(body) != luma + 2 * chroma:
@@ -84,7 +94,7 @@ def decode(packets: DataFrame, strict: bool = False) -> DataFrame:
                 raise ValueError(f"codec {codec} is not supported")
             for f in CODECS[codec](work):
                 found.append((clip, f.n, f.pts_ns, f.width, f.height, *f.planes, None))
-        except ValueError as e:
+        except (ValueError, IndexError, EOFError) as e:
             if strict:
                 raise
             found.append((clip, work[len(found)][0], work[len(found)][1], None, None, None, None, None, str(e)))
@@ -94,6 +104,23 @@ def decode(packets: DataFrame, strict: bool = False) -> DataFrame:
     return grouped.groupBy("clip_id", "gop_id").applyInArrow(run, FRAMES)
 
 
+def encode_coded(frames: DataFrame, gop: int, qp: int, cols: int = 1, rows: int = 1, window: int = 0) -> DataFrame:
+    """Packets of frames in the transform-coded modes. Every `gop` frames form a closed group and a task of their own."""
+    if not 0 <= qp <= MAX_QP or gop < 1:
+        raise ValueError(f"quantiser {qp}, groups of {gop}")
+
+    def run(rows_: pa.Table) -> pa.Table:
+        rows_ = rows_.sort_by("n")
+        planes = list(zip(*(rows_[c].to_pylist() for c in ("y", "cb", "cr")), strict=True))
+        width, height = rows_["width"][0].as_py(), rows_["height"][0].as_py()
+        coded = encode_group(planes, width, height, qp, cols, rows, window)
+        data = [packet_header(i == 0, INTER if i else INTRA, width, height, hidden) + body for i, (body, _, hidden) in enumerate(coded)]
+        return pa.table({"clip_id": rows_["clip_id"], "seq": rows_["n"], "pts_ns": rows_["pts_ns"], "is_key": [i == 0 for i in range(len(data))], "data": pa.array(data, pa.binary())})
+
+    grouped = frames.where(F.col("y").isNotNull()).select("clip_id", "n", "pts_ns", "width", "height", "y", "cb", "cr", F.expr(f"n div {gop}").alias("_gop"))
+    return grouped.groupBy("clip_id", "_gop").applyInArrow(run, "clip_id string, seq long, pts_ns long, is_key boolean, data binary")
+
+
 def encode(frames: DataFrame, gop: int) -> DataFrame:
     """Packets (clip_id, seq, pts_ns, is_key, data) of frames in the uncompressed mode, a key every `gop` frames."""
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,3 +108,23 @@ def bound(uses: DataFrame, sets: DataFrame, clip: str, seq: str, set_id: str, co
     """Binds each use to the latest parameter set of its id sent before it; nulls where there is none."""
     key = F.struct(clip, set_id)
     return as_of(uses.withColumn("_k", key), sets.withColumn("_k", key).select("_k", F.col(seq).alias("_s"), *columns), "_k", seq, "_s", columns).drop("_k")
+
+
+def planned_groups(cuts: DataFrame, gop: int, least: int = 8, clip: str = "clip_id", n: str = "n", cut: str = "cut") -> DataFrame:
+    """Adds gop_id: a group closes after `gop` frames, or before a cut if it has at least `least`.
+
+    Where a group closes depends on where it began, so a clip is walked in order, over its narrow rows alone.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in cuts.schema.fields}
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by(n)
+        group, held, out = 0, 0, []
+        for is_cut in rows[cut].to_pylist():
+            if held >= gop or (is_cut and held >= least):
+                group, held = group + 1, 0
+            held += 1
+            out.append(group)
+        return rows.append_column("gop_id", pa.array(out, pa.int64()))
+
+    return cuts.select(clip, n, cut).groupBy(clip).applyInArrow(run, f"`{clip}` {kinds[clip]}, `{n}` {kinds[n]}, `{cut}` {kinds[cut]}, gop_id long")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import timing
+from ..functions import samples, timing
 from ..operators import codec, references, streams
 from ..sources import gop_container, obu
 from ..sources.bits import BitWriter
@@ -160,3 +160,26 @@ def playback(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pd.DataFrame(out, columns=["session", "at", "t_ns", "shown", "changed", "status", "dropped"])
 
     return player_input(spark, sf_dir).groupBy("session").applyInPandas(run, player.OUTPUT)
+
+
+@query("coded_quality", "F10 F11 F12 F13 F19 F20 F27 F28 O4 O5 A8 U4 X3")
+def coded_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The moving test clip through the transform-coded modes (qp 20, groups of six, two by two tiles, a denoised
+    reference), a file, and back: bytes and luma error of each frame."""
+    frames = synthetic_frames(spark)
+    header = gop_container.Header(pixel_queries.W, pixel_queries.H, 30, 1)
+    made = muxed(codec.encode_coded(frames, 6, 20, 2, 2, 4), lambda packets: gop_container.build(header, packets))
+    packets = scan(made, gop_container.parse, strict=True)
+    back = codec.decode(packets, strict=True).select("n", F.col("y").alias("r"))
+    at = F.sequence(F.lit(1), F.length("y"))
+    byte = lambda c, i: F.conv(F.hex(F.substring(c, i, F.lit(1))), 16, 10).cast("long")
+    error = F.aggregate(F.transform(at, lambda i: (byte("y", i) - byte("r", i)) * (byte("y", i) - byte("r", i))), F.lit(0).cast("long"), lambda acc, v: acc + v)
+    rows = frames.select("n", "y").join(back, "n").withColumn("sse", error).join(packets.select(F.col("seq").alias("n"), F.octet_length("data").alias("bytes")), "n")
+    return rows.select("n", "bytes", "sse", F.round(samples.psnr(F.col("sse"), F.length("y"), 99.0), 6).alias("psnr"))
+
+
+@query("group_planning", "W1 W2")
+def group_planning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of at most 12 packets that close before an error, once they have eight."""
+    rows = stream_queries.packets(spark, sf_dir).select("clip_id", F.col("seq").cast("long").alias("n"), (F.col("event_type") == "error").alias("cut"))
+    return streams.planned_groups(rows, 12)
