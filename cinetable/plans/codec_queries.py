@@ -63,7 +63,11 @@ def last_and_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.buffers(rows).select("clip_id", "seq", "last_ref", "golden_ref")
 
 
-@query("vp8_reference_update", "U2")
+@query("vp8_reference_update", "U2", _G.replace("WITH ", "WITH RECURSIVE ", 1) + """, s AS (SELECT clip_id, gop_id, seq, is_key, event_id % 3 <> 0 AS rl, event_id % 4 AS cg, event_id // 4 % 4 AS ca, row_number() OVER (PARTITION BY clip_id, gop_id ORDER BY seq) AS i FROM g),
+w AS (SELECT clip_id, gop_id, seq, i, CASE WHEN is_key OR rl THEN seq END AS l, CASE WHEN is_key OR cg = 3 THEN seq END AS gd, CASE WHEN is_key OR ca = 3 THEN seq END AS a FROM s WHERE i = 1
+  UNION ALL SELECT clip_id, gop_id, seq, i, CASE WHEN is_key OR rl THEN seq ELSE l END, CASE WHEN cg = 3 OR is_key THEN seq WHEN cg = 1 THEN l WHEN cg = 2 THEN na ELSE gd END, CASE WHEN ca = 3 THEN seq ELSE na END FROM
+   (SELECT s.*, l, gd, a, CASE WHEN is_key THEN s.seq WHEN ca = 1 THEN l WHEN ca = 2 THEN gd ELSE a END AS na FROM w JOIN s ON s.clip_id = w.clip_id AND s.gop_id = w.gop_id AND s.i = w.i + 1))
+SELECT clip_id, gop_id, seq, l AS last, gd AS golden, a AS altref FROM w""")
 def vp8_reference_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = grouped(spark, sf_dir).selectExpr("clip_id", "gop_id", "seq", "is_key", "event_id % 3 <> 0 AS refresh_last", "event_id % 4 AS copy_golden", "event_id div 4 % 4 AS copy_altref")
     return references.vp8_buffers(rows)
@@ -178,7 +182,10 @@ def coded_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("n", "bytes", "sse", F.round(samples.psnr(F.col("sse"), F.length("y"), 99.0), 6).alias("psnr"))
 
 
-@query("group_planning", "W1 W2")
+@query("group_planning", "W1 W2", "WITH RECURSIVE " + stream_queries.PACKETS + """, w AS (SELECT clip_id, seq, event_type = 'error' AS cut, CAST(0 AS BIGINT) AS gop_id, 1 AS held FROM p WHERE seq = 0
+  UNION ALL SELECT p.clip_id, p.seq, p.event_type = 'error', gop_id + CASE WHEN held >= 12 OR (p.event_type = 'error' AND held >= 8) THEN 1 ELSE 0 END, CASE WHEN held >= 12 OR (p.event_type = 'error' AND held >= 8) THEN 1 ELSE held + 1 END
+  FROM w JOIN p ON p.clip_id = w.clip_id AND p.seq = w.seq + 1)
+SELECT clip_id, seq AS n, cut, gop_id FROM w""")
 def group_planning(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of at most 12 packets that close before an error, once they have eight."""
     rows = stream_queries.packets(spark, sf_dir).select("clip_id", F.col("seq").cast("long").alias("n"), (F.col("event_type") == "error").alias("cut"))

@@ -165,7 +165,11 @@ def vector_sse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(after, "vec_id").select("vec_id", F.aggregate(e, F.lit(0).cast("long"), lambda acc, x: acc + x).alias("sse"), F.size("a").cast("long").alias("samples"))
 
 
-@query("flagship", "J5 A1 A2 A3 W1 P6 J3", None)
+@query("flagship", "J5 A1 A2 A3 W1 P6 J3", f"""WITH {SYNTH}, q AS (SELECT n, y, x, v, CASE WHEN n >= 6 THEN 255 - v ELSE v END AS w, CASE WHEN n = 0 THEN 0 ELSE v - v // 7 * 7 END AS e FROM px),
+p AS (SELECT n, CASE WHEN sum(e * e) = 0 THEN 99.0 ELSE round(10 * log10(65025.0 * count(*) / sum(e * e)), 6) END AS psnr FROM q GROUP BY n),
+d AS (SELECT n, abs(w - lag(w) OVER (PARTITION BY y, x ORDER BY n)) AS d FROM q), c AS (SELECT n, coalesce(sum(d) > 28 * count(*), FALSE) AS cut FROM d GROUP BY n),
+k AS (SELECT event_id, event_id * 1000000 AS t_ns, (SELECT max(n) FROM range({N}) f(n) WHERE CAST(n AS BIGINT) * 1001 * 1000000000 // 30000 <= event_id * 1000000) AS shown FROM events)
+SELECT event_id, t_ns, shown, coalesce(lag(shown) OVER (ORDER BY t_ns) <> shown, TRUE) AS changed, psnr, cut FROM k JOIN p ON p.n = shown JOIN c ON c.n = shown""")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality and cuts of a generated clip's frames, at each tick of a clock taken from the packets of `events`."""
     from ..functions import timing
