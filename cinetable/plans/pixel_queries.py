@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import samples
@@ -168,16 +168,17 @@ def vector_sse(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("flagship", "J5 A1 A2 A3 W1 P6 J3", f"""WITH {SYNTH}, q AS (SELECT n, y, x, v, CASE WHEN n >= 6 THEN 255 - v ELSE v END AS w, CASE WHEN n = 0 THEN 0 ELSE v - v // 7 * 7 END AS e FROM px),
 p AS (SELECT n, CASE WHEN sum(e * e) = 0 THEN 99.0 ELSE round(10 * log10(65025.0 * count(*) / sum(e * e)), 6) END AS psnr FROM q GROUP BY n),
 d AS (SELECT n, abs(w - lag(w) OVER (PARTITION BY y, x ORDER BY n)) AS d FROM q), c AS (SELECT n, coalesce(sum(d) > 28 * count(*), FALSE) AS cut FROM d GROUP BY n),
-k AS (SELECT event_id, event_id * 1000000 AS t_ns, (SELECT max(n) FROM range({N}) f(n) WHERE CAST(n AS BIGINT) * 1001 * 1000000000 // 30000 <= event_id * 1000000) AS shown FROM events)
-SELECT event_id, t_ns, shown, coalesce(lag(shown) OVER (ORDER BY t_ns) <> shown, TRUE) AS changed, psnr, cut FROM k JOIN p ON p.n = shown JOIN c ON c.n = shown""")
+k AS (SELECT user_id, event_id, event_id * 1000000 AS t_ns, (SELECT max(n) FROM range({N}) f(n) WHERE CAST(n AS BIGINT) * 1001 * 1000000000 // 30000 <= event_id * 1000000) AS shown FROM events)
+SELECT user_id, event_id, t_ns, shown, coalesce(lag(shown) OVER (PARTITION BY user_id ORDER BY t_ns) <> shown, TRUE) AS changed, psnr, cut FROM k JOIN p ON p.n = shown JOIN c ON c.n = shown""")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality and cuts of a generated clip's frames, at each tick of a clock taken from the packets of `events`."""
+    """A generated clip watched by every user of `events`: the frame on screen at each of their ticks, whether it
+    changed, its quality against a quantised copy, and whether it is a cut."""
     from ..functions import timing
-    from ..operators import streams
-    from . import stream_queries
-
-    quality = frame_psnr(spark, sf_dir).join(scene_cut(spark, sf_dir), "n")
-    frames = quality.select(F.lit(0).cast("long").alias("clip_id"), "n", "psnr", "cut").withColumn("pts_ns", timing.frame_time(F.col("n"), F.lit(30000).cast("long"), F.lit(1001).cast("long")))
-    clock = stream_queries.packets(spark, sf_dir).select(F.lit(0).cast("long").alias("clip_id"), "event_id", (F.col("event_id") * 1_000_000).alias("t_ns"))
-    shown = streams.shown_at(frames, clock)
-    return shown.join(quality.select(F.col("n").alias("shown"), "psnr", "cut"), "shown").select("event_id", "t_ns", "shown", "changed", "psnr", "cut")
+
+    quality = frame_psnr(spark, sf_dir).select("n", "psnr").join(scene_cut(spark, sf_dir).select("n", "cut"), "n")
+    rate = F.lit(30000).cast("long"), F.lit(1001).cast("long")
+    ticks = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") * 1_000_000).alias("t_ns"))
+    shown = ticks.withColumn("shown", F.least(timing.frame_at(F.col("t_ns"), *rate), F.lit(N - 1)).cast("long"))
+    before = F.lag("shown").over(Window.partitionBy("user_id").orderBy("t_ns"))
+    shown = shown.withColumn("changed", F.coalesce(before != F.col("shown"), F.lit(True)))
+    return shown.join(F.broadcast(quality.withColumnRenamed("n", "shown")), "shown").select("user_id", "event_id", "t_ns", "shown", "changed", "psnr", "cut")
