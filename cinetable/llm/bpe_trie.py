@@ -26,8 +26,8 @@ from .arrow import batch_of, model, slices
 
 #: Fixed value: the pre-token pattern of byte-level BPE.
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Entries kept by a worker: encoded pre-tokens, and token pairs.
-CACHED_WORDS, CACHED_PAIRS = 300_000, 400_000
+#: Entries kept by a worker: encoded pre-tokens in each of two generations, and token pairs.
+CACHED_WORDS, CACHED_PAIRS = 250_000, 400_000
 
 
 def byte_of_char() -> dict[str, int]:
@@ -53,6 +53,7 @@ class TrieBpe:
         self.find = regex.compile(PRETOKENS).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
 
     def merged(self, data: bytes) -> list[bytes]:
@@ -77,7 +78,7 @@ class TrieBpe:
 
     def visit(self, fresh: Iterable[str]) -> dict[str, bytes]:
         """Encodes distinct words, as little-endian 32-bit ids."""
-        id_of, follows, longest = self.id_of, self.follows, self.longest
+        id_of, longest, pairs, decide = self.id_of, self.longest, self.pairs, self.follows
         last: list[bytes] = [b""]  # last[i]: last token of the first i bytes on the path
         out, before = {}, b""
         for data, word in sorted((w.encode(), w) for w in fresh):
@@ -86,13 +87,18 @@ class TrieBpe:
                 shared += 1
             del last[shared + 1 :]
             for end in range(shared + 1, len(data) + 1):
-                for start in range(max(0, end - longest), end):
+                start = end - longest if end > longest else 0
+                while True:  # the longest token first
                     token = data[start:end]
-                    if token in id_of and (not start or follows(last[start], token)):
-                        last.append(token)
-                        break
-                else:
-                    raise ValueError(f"no token ends {data[:end]!r}")
+                    if token in id_of:
+                        if not start or (known := pairs.get((last[start], token))):
+                            break
+                        if known is None and decide(last[start], token):
+                            break
+                    start += 1
+                    if start == end:
+                        raise ValueError(f"no token ends {data[:end]!r}")
+                last.append(token)
             ids, end = [], len(data)
             while end:
                 ids.append(id_of[last[end]])
@@ -111,13 +117,15 @@ class TrieBpe:
                 parts.append(found)
             else:
                 parts.append(self.find(text))
+        if len(self.words) > CACHED_WORDS:  # what is still in use comes back from the older generation
+            self.words, self.older = {}, self.words
         known = self.words
-        if len(known) > CACHED_WORDS:
-            known.clear()
         if not known:
             known.update((s, array("I", [i]).tobytes()) for s, i in self.special.items())
         fresh = set().union(*parts).difference(known) if parts else set()
-        known.update(self.visit(fresh))
+        kept = fresh.intersection(self.older)
+        known.update(zip(kept, map(self.older.__getitem__, kept), strict=True))
+        known.update(self.visit(fresh.difference(kept)))
         return [b"".join(map(known.__getitem__, p)) for p in parts]
 
     def decode(self, ids: bytes) -> str:
