@@ -30,7 +30,7 @@ from .common import BLANKS, spread
 
 SAMPLES = 128
 #: Rows of SAMPLES floats that a worker keeps for terms met before.
-CACHED_TERMS = 150_000
+CACHED_TERMS = 250_000
 #: Rows of a range that is read in order, and ranges at most (the bounds of ranges pass through the driver).
 RANGE_ROWS, MAX_RANGES = 1000, 4096
 _WORDS = re.compile(f"[^{BLANKS}]+")
@@ -95,13 +95,15 @@ class Sampler:
         least, place = None, None
         for lo in range(0, len(keys), self.cached // 2):
             some = keys[lo : lo + self.cached // 2]
-            fresh = [k for k in some if k not in self.rows]
-            if len(self.rows) + len(fresh) > self.cached:
-                self.rows.clear()
-                fresh = some
-            if fresh:
+            places = list(map(self.rows.get, some))
+            if None in places:
+                fresh = [k for k, at in zip(some, places, strict=True) if at is None]
+                if len(self.rows) + len(fresh) > self.cached:
+                    self.rows.clear()
+                    fresh = some
                 self._learn(fresh)
-            rows = np.fromiter(map(self.rows.__getitem__, some), np.int64, len(some))
+                places = list(map(self.rows.__getitem__, some))
+            rows = np.array(places)
             scores = self.scores[rows]
             best = scores.argmin(axis=0)
             score = scores[best, np.arange(self.samples)]
