@@ -1,4 +1,4 @@
-"""Integer arithmetic of H.264 blocks as Column expressions over arrays of 16 values in raster order."""
+"""Integer arithmetic of H.264 (and VP8) blocks as Column expressions over arrays of 16 values in raster order."""
 
 from __future__ import annotations
 
@@ -65,3 +65,30 @@ def six_tap(line: list[Column]) -> Column:
 def edge_strength(intra: Column, at_mb_edge: Column, coded: Column, same_ref: Column, dx: Column, dy: Column) -> Column:
     """Deblocking strength between two blocks: 4 and 3 for intra, 2 for coefficients, 1 for unlike motion."""
     return F.when(intra & at_mb_edge, 4).when(intra, 3).when(coded, 2).when(~same_ref | (F.abs(dx) >= 4) | (F.abs(dy) >= 4), 1).otherwise(0)
+
+
+def _byte(v: Column) -> Column:
+    return F.least(F.greatest(v, F.lit(0)), F.lit(255))
+
+
+def normal_filter(p1: Column, p0: Column, q0: Column, q1: Column, alpha: int, beta: int, clip: int) -> list[Column]:
+    """p0 and q0 after the edge filter for strengths below 4."""
+    on = (F.abs(p0 - q0) < alpha) & (F.abs(p1 - p0) < beta) & (F.abs(q1 - q0) < beta)
+    d = F.least(F.greatest(F.shiftright((q0 - p0) * 4 + (p1 - q1) + 4, 3), F.lit(-clip)), F.lit(clip))
+    return [F.when(on, _byte(p0 + d)).otherwise(p0).alias("p0"), F.when(on, _byte(q0 - d)).otherwise(q0).alias("q0")]
+
+
+def vp8_simple_filter(p1: Column, p0: Column, q0: Column, q1: Column, limit: int) -> list[Column]:
+    """p0 and q0 after VP8's simple filter, in signed arithmetic."""
+    sat = lambda v: F.least(F.greatest(v, F.lit(-128)), F.lit(127))
+    a, b, c, d = (x - 128 for x in (p1, p0, q0, q1))
+    on = F.abs(b - c) * 2 + F.shiftright(F.abs(a - d), 1) <= limit
+    change = sat(sat(a - d) + (c - b) * 3)
+    down, up = F.shiftright(sat(change + 4), 3), F.shiftright(sat(change + 3), 3)
+    return [(F.when(on, sat(b + up)).otherwise(b) + 128).alias("p0"), (F.when(on, sat(c - down)).otherwise(c) + 128).alias("q0")]
+
+
+def weighted(v: Column, weight: Column, offset: Column, bits: int) -> Column:
+    """Explicit weighted prediction from one reference."""
+    scaled = F.shiftright(v * weight + (1 << (bits - 1)), bits) if bits else v * weight
+    return _byte(scaled + offset)

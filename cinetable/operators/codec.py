@@ -104,8 +104,10 @@ def decode(packets: DataFrame, strict: bool = False) -> DataFrame:
     return grouped.groupBy("clip_id", "gop_id").applyInArrow(run, FRAMES)
 
 
-def encode_coded(frames: DataFrame, gop: int, qp: int, cols: int = 1, rows: int = 1, window: int = 0) -> DataFrame:
-    """Packets of frames in the transform-coded modes. Every `gop` frames form a closed group and a task of their own."""
+def encode_coded(frames: DataFrame, gop: int, qp: int, cols: int = 1, rows: int = 1, window: int = 0, fast: bool = False) -> DataFrame:
+    """Packets of frames in the transform-coded modes. Every `gop` frames form a closed group and a task of their own.
+
+    `fast` leaves out the second pass, which prices levels by the first one's symbols."""
     if not 0 <= qp <= MAX_QP or gop < 1:
         raise ValueError(f"quantiser {qp}, groups of {gop}")
 
@@ -113,7 +115,7 @@ def encode_coded(frames: DataFrame, gop: int, qp: int, cols: int = 1, rows: int
         rows_ = rows_.sort_by("n")
         planes = list(zip(*(rows_[c].to_pylist() for c in ("y", "cb", "cr")), strict=True))
         width, height = rows_["width"][0].as_py(), rows_["height"][0].as_py()
-        coded = encode_group(planes, width, height, qp, cols, rows, window)
+        coded = encode_group(planes, width, height, qp, cols, rows, window, 1 if fast else 2)
         data = [packet_header(i == 0, INTER if i else INTRA, width, height, hidden) + body for i, (body, _, hidden) in enumerate(coded)]
         return pa.table({"clip_id": rows_["clip_id"], "seq": rows_["n"], "pts_ns": rows_["pts_ns"], "is_key": [i == 0 for i in range(len(data))], "data": pa.array(data, pa.binary())})
 

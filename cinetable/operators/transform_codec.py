@@ -147,6 +147,35 @@ def with_hidden_sign(levels: np.ndarray) -> np.ndarray:
     return out.reshape(n, n)
 
 
+def trimmed(levels: np.ndarray, coeffs: np.ndarray, step: np.ndarray, bits: Sequence[Sequence[float]], lam: float, chroma: bool, tx: int) -> np.ndarray:
+    """Levels cut where the last ones cost more bits than they save error; costs are those of a first pass.
+
+    One run along the scan sums the error of what is kept, the error of dropping the rest, and the bits so far.
+    """
+    scan = _SCAN[len(levels)]
+    line, want, size = levels.reshape(-1)[scan], coeffs.reshape(-1)[scan], step.reshape(-1)[scan]
+    used = np.flatnonzero(line)
+    if not len(used):
+        return levels
+    drop = np.append(np.cumsum((want**2)[::-1])[::-1], 0)
+    rate, kept, before, best = 0.0, 0.0, 0, (float(drop[0]) + lam * bits[token_context(chroma, tx, 0, 0)][END], 0)
+    for i in range(int(used[-1]) + 1):
+        mag = abs(int(line[i]))
+        rate += bits[token_context(chroma, tx, i, before)][min(mag, ESCAPE)] + (mag > 0)
+        if mag >= ESCAPE:
+            c = (mag - ESCAPE).bit_length()
+            rate += bits[ESCAPE_CLASS][c] + max(0, c - 1)
+        kept += float((want[i] - line[i] * size[i]) ** 2)
+        before = min(mag, 2)
+        if mag:
+            end = bits[token_context(chroma, tx, i + 1, before)][END] if i + 1 < len(line) else 0.0
+            best = min(best, (kept + float(drop[i + 1]) + lam * (rate + end), i + 1))
+    line[best[1] :] = 0
+    out = np.zeros(len(line), np.int64)
+    out[scan] = line
+    return out.reshape(levels.shape)
+
+
 # -- prediction ---------------------------------------------------------------------------------------------------
 
 
@@ -266,8 +295,8 @@ def tiles(across: int, down: int, cols: int, rows: int) -> list[Tile]:
 class Picture:
     """The syntax walk of one picture. `want` has the source planes when encoding, None when decoding."""
 
-    def __init__(self, size: tuple[int, int], qp: int, state: State, inter: bool, want: Planes | None = None) -> None:
-        self.rec, self.state, self.inter, self.want, self.qp = blank(*size), state, inter, want, qp
+    def __init__(self, size: tuple[int, int], qp: int, state: State, inter: bool, want: Planes | None = None, bits: Sequence[Sequence[float]] | None = None) -> None:
+        self.rec, self.state, self.inter, self.want, self.bits = blank(*size), state, inter, want, bits
         self.down, self.across = (s // MB for s in self.rec[0].shape)
         self.dc, self.ac = steps(qp)
         self.lam = self.ac * self.ac / 6
@@ -284,7 +313,10 @@ class Picture:
         assert self.want is not None
         c = forward(self.want[k][y : y + n, x : x + n].astype(np.int64) - base)
         step = self.step[n]
-        return with_hidden_sign(np.sign(c) * ((np.abs(c) * 8 + 3 * step) // (step * 8)))
+        levels = np.sign(c) * ((np.abs(c) * 8 + 3 * step) // (step * 8))
+        if self.bits is not None:
+            levels = trimmed(levels, c, step, self.bits, self.lam, k > 0, SIZES.index(n))
+        return with_hidden_sign(levels)
 
     def _put(self, ch: Channel, k: int, tx: int, n: int, x: int, y: int, base: np.ndarray, levels: np.ndarray | None) -> None:
         levels = residual(ch, k > 0, tx, n, levels)
@@ -382,13 +414,21 @@ class Picture:
         base = self._move(self.state.golden if ref else self.state.last, mx, my, part, mvs)
         self._moved_residual(ch, mx, my, base)
 
+    def _moved_cost(self, mx: int, my: int, tx: int, base: np.ndarray, levels: list[np.ndarray]) -> float:
+        """Squared error of a macroblock's luma with these levels, plus weighted coefficients."""
+        assert self.want is not None
+        n, left = SIZES[tx], self.want[0][my * MB : my * MB + MB, mx * MB : mx * MB + MB].astype(np.int64) - base
+        places = [(y, x) for y in range(0, MB, n) for x in range(0, MB, n)]
+        error = sum(int(((left[y : y + n, x : x + n] - inverse(b * self.step[n])) ** 2).sum()) for (y, x), b in zip(places, levels, strict=True))
+        return error + self.lam * sum(np.count_nonzero(b) * 4 + 2 for b in levels)
+
     def _moved_residual(self, ch: Channel, mx: int, my: int, base: list[np.ndarray]) -> None:
         luma: list[np.ndarray] = []
         chroma: list[np.ndarray | None] = [None, None]
         coded = tx = 0
         if self.want is not None:
             options = {t: [self._levels(n, 0, mx * MB + x, my * MB + y, base[0][y : y + n, x : x + n]) for y in range(0, MB, n) for x in range(0, MB, n)] for t, n in enumerate(SIZES)}
-            tx = min(options, key=lambda t: (sum(np.count_nonzero(b) * 2 + 1 for b in options[t]), t))
+            tx = min(options, key=lambda t: (self._moved_cost(mx, my, t, base[0], options[t]), t))
             luma = options[tx]
             chroma = [self._levels(8, k, mx * 8, my * 8, base[k]) for k in (1, 2)]
             coded = any(b.any() for b in luma) | bool(chroma[0].any()) << 1 | bool(chroma[1].any()) << 2  # type: ignore[union-attr]
@@ -508,20 +548,34 @@ def decode_body(body: bytes, size: tuple[int, int], state: State, key: bool, int
     return picture.rec
 
 
-def encode_body(want: Planes, size: tuple[int, int], state: State, qp: int, inter: bool, cols: int = 1, rows: int = 1) -> tuple[bytes, Planes]:
-    """The body of a packet and the picture that a decoder will have."""
+UNSEEN_BITS = 20.0
+
+
+def costs(freqs: dict[int, list[int]]) -> list[list[float]]:
+    """Bits of each symbol of each context under frequency tables."""
+    return [[UNSEEN_BITS if ctx not in freqs or not f else float(np.log2(SLOTS / f)) for f in freqs.get(ctx, [0] * size)] for ctx, size in enumerate(ALPHABETS)]
+
+
+def encode_body(want: Planes, size: tuple[int, int], state: State, qp: int, inter: bool, cols: int = 1, rows: int = 1, passes: int = 2) -> tuple[bytes, Planes]:
+    """The body of a packet and the picture that a decoder will have.
+
+    The second pass prices levels by what the first one measured.
+    """
     if not inter:
         state.shipped.clear()
-    picture = Picture(size, qp, state, inter, want)
-    parts = tiles(picture.across, picture.down, cols, rows)
-    sinks = [Sink() for _ in parts]
-    for sink, tile in zip(sinks, parts, strict=True):
-        picture.walk(sink, tile)
-    counts: dict[int, list[int]] = {}
-    for sink in sinks:
-        for ctx, sym in sink.tokens:
-            counts.setdefault(ctx, [0] * ALPHABETS[ctx])[sym] += 1
-    freqs = {ctx: repaired(c) for ctx, c in counts.items()}
+    bits: list[list[float]] | None = None
+    for _ in range(passes):
+        picture = Picture(size, qp, state, inter, want, bits)
+        parts = tiles(picture.across, picture.down, cols, rows)
+        sinks = [Sink() for _ in parts]
+        for sink, tile in zip(sinks, parts, strict=True):
+            picture.walk(sink, tile)
+        counts: dict[int, list[int]] = {}
+        for sink in sinks:
+            for ctx, sym in sink.tokens:
+                counts.setdefault(ctx, [0] * ALPHABETS[ctx])[sym] += 1
+        freqs = {ctx: repaired(c) for ctx, c in counts.items()}
+        bits = costs(freqs)
     table = write_tables(freqs, state.shipped)
     lookup = [Table(freqs[c]) if c in freqs and c != BYPASS else Table([SLOTS // 2] * 2) for c in range(len(ALPHABETS))]
     grid_cols, grid_rows = min(cols, picture.across), min(rows, picture.down)
@@ -570,7 +624,7 @@ def denoised(frames: Sequence[Planes]) -> Planes | None:
     return [((s + c // 2) // c).astype(np.uint8) for s, c in zip(sums, counts, strict=True)] if taken else None
 
 
-def encode_group(frames: Sequence[tuple[bytes, bytes, bytes]], width: int, height: int, qp: int, cols: int = 1, rows: int = 1, window: int = 0) -> Iterator[tuple[bytes, Planes, bool]]:
+def encode_group(frames: Sequence[tuple[bytes, bytes, bytes]], width: int, height: int, qp: int, cols: int = 1, rows: int = 1, window: int = 0, passes: int = 2) -> Iterator[tuple[bytes, Planes, bool]]:
     """(body, reconstruction, override) of each frame of a closed group, the first being the key frame.
 
     With a `window`, the key packet also carries a denoised reference of so many frames, never shown.
@@ -578,12 +632,12 @@ def encode_group(frames: Sequence[tuple[bytes, bytes, bytes]], width: int, heigh
     state, size = State(), (width, height)
     pictures = [padded(width, height, f) for f in frames]
     for i, want in enumerate(pictures):
-        body, rec = encode_body(want, size, state, qp, i > 0, cols, rows)
+        body, rec = encode_body(want, size, state, qp, i > 0, cols, rows, passes)
         state.last, hidden = rec, None
         if i == 0:
             state.golden = rec
             if window and (clean := denoised(pictures[:window])) is not None:
-                extra, hidden = encode_body(clean, size, state, qp, True, cols, rows)
+                extra, hidden = encode_body(clean, size, state, qp, True, cols, rows, passes)
                 state.golden = hidden
                 body = leb128(len(body)) + body + extra
         yield body, rec, hidden is not None

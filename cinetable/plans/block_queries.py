@@ -69,3 +69,35 @@ def edge_strengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     either = lambda c: F.col(c) | F.col(f"_{c}")
     strength = h264.edge_strength(either("intra"), F.col("seq") % 4 == 0, either("coded"), F.col("ref") == F.col("_ref"), F.col("x") - F.col("_x"), F.col("y") - F.col("_y"))
     return rows.select("clip_id", "seq", strength.alias("strength"))
+
+
+_SIDES = "e AS (SELECT event_id, event_id * 7 % 256 AS p1, event_id * 7 % 256 + event_id % 9 - 4 AS a, event_id * 7 % 256 + event_id * 5 % 23 - 11 AS b, event_id * 7 % 256 + event_id * 3 % 31 - 15 AS c FROM events), s AS (SELECT event_id, p1, least(greatest(a, 0), 255) AS p0, least(greatest(b, 0), 255) AS q0, least(greatest(c, 0), 255) AS q1 FROM e)"
+
+
+def sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four samples across a block edge, made from `events`."""
+    base = "event_id * 7 % 256"
+    made = [f"least(greatest({base} + {d}, 0), 255)" for d in ("event_id % 9 - 4", "event_id * 5 % 23 - 11", "event_id * 3 % 31 - 15")]
+    return table(spark, sf_dir, "events").selectExpr("event_id", f"{base} AS p1", *[f"{m} AS {n}" for m, n in zip(made, ("p0", "q0", "q1"), strict=True)])
+
+
+@query("edge_filter", "F23", f"WITH {_SIDES}, d AS (SELECT *, abs(p0 - q0) < 20 AND abs(p1 - p0) < 6 AND abs(q1 - q0) < 6 AS on_, least(greatest((((q0 - p0) << 2) + (p1 - q1) + 4) >> 3, -3), 3) AS d FROM (SELECT event_id, p1, p0, q0, q1 FROM s)) SELECT event_id, CASE WHEN on_ THEN least(greatest(p0 + d, 0), 255) ELSE p0 END AS p0, CASE WHEN on_ THEN least(greatest(q0 - d, 0), 255) ELSE q0 END AS q0 FROM d".replace("((q0 - p0) << 2)", "(q0 - p0) * 4"))
+def edge_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The normal H.264 edge filter at fixed thresholds (20, 6) and clip 3."""
+    rows = sides(spark, sf_dir)
+    return rows.select("event_id", *h264.normal_filter(*map(F.col, ("p1", "p0", "q0", "q1")), 20, 6, 3))
+
+
+@query("simple_loop_filter", "F24", f"WITH {_SIDES}, t AS (SELECT event_id, p1 - 128 AS p1, p0 - 128 AS p0, q0 - 128 AS q0, q1 - 128 AS q1 FROM s), u AS (SELECT *, abs(p0 - q0) * 2 + (abs(p1 - q1) >> 1) <= 40 AS on_, least(greatest(least(greatest(p1 - q1, -128), 127) + 3 * (q0 - p0), -128), 127) AS a FROM t), "
+    "v AS (SELECT *, least(a + 4, 127) >> 3 AS f, least(a + 3, 127) >> 3 AS g FROM u) SELECT event_id, CASE WHEN on_ THEN least(greatest(p0 + g, -128), 127) ELSE p0 END + 128 AS p0, CASE WHEN on_ THEN least(greatest(q0 - f, -128), 127) ELSE q0 END + 128 AS q0 FROM v")
+def simple_loop_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The simple VP8 loop filter at limit 40."""
+    rows = sides(spark, sf_dir)
+    return rows.select("event_id", *h264.vp8_simple_filter(*map(F.col, ("p1", "p0", "q0", "q1")), 40))
+
+
+@query("explicit_weights", "F21", "SELECT event_id, least(greatest(((event_id * 13 % 256 * (event_id % 127 - 40) + 16) >> 5) + event_id % 21 - 10, 0), 255) AS v FROM events")
+def explicit_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One-directional weighted prediction with a denominator of 2^5."""
+    rows = table(spark, sf_dir, "events")
+    return rows.select("event_id", h264.weighted(F.col("event_id") * 13 % 256, F.col("event_id") % 127 - 40, F.col("event_id") % 21 - 10, 5).alias("v"))

@@ -166,7 +166,7 @@ def playback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return player_input(spark, sf_dir).groupBy("session").applyInPandas(run, player.OUTPUT)
 
 
-@query("coded_quality", "F10 F11 F12 F13 F19 F20 F27 F28 O4 O5 A8 U4 X3")
+@query("coded_quality", "F10 F11 F12 F13 F19 F20 F27 F28 O4 O5 O7 A8 U4 X3")
 def coded_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The moving test clip through the transform-coded modes (qp 20, groups of six, two by two tiles, a denoised
     reference), a file, and back: bytes and luma error of each frame."""

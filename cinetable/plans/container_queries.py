@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rans, timing
+from ..functions.bool_coder import BoolReader, BoolWriter
 from ..operators import tokens
 from ..sources import gop_container, mp4, nal, obu, raw, webm
 from ..sources.bits import BitWriter
@@ -217,3 +218,22 @@ def rans_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(back)), pa.array(back, pa.int64())], names=["lang", "sym"])
 
     return tiles.select("lang", "syms", "freq").mapInArrow(run, "lang string, sym long").groupBy("lang", "sym").agg(F.count("*").alias("count"))
+
+
+@query("bool_coder_roundtrip", "F8", f"WITH {token_queries._TOK} SELECT lang, sym, count FROM h")
+def bool_coder_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols of four bits through the boolean coder with skewed probabilities, by document source, and counted."""
+    tiles = token_queries.symbols(spark, sf_dir).groupBy("lang", "source").agg(F.collect_list("sym").alias("syms"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lang, syms in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                w = BoolWriter()
+                for s in syms:
+                    for k in range(4):
+                        w.bit(s >> k & 1, 100 + 40 * k)
+                r = BoolReader(w.bytes())
+                back = [sum(r.bit(100 + 40 * k) << k for k in range(4)) for _ in syms]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(back)), pa.array(back, pa.int64())], names=["lang", "sym"])
+
+    return tiles.select("lang", "syms").mapInArrow(run, "lang string, sym long").groupBy("lang", "sym").agg(F.count("*").alias("count"))

@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import SparkSession
 
 from cinetable.functions import rans
+from cinetable.functions.bool_coder import BoolReader, BoolWriter
 from cinetable.operators import codec
 from cinetable.operators.tokens import repaired
 from cinetable.sources import dispatch, gop_container, mp4, nal, obu, webm
@@ -192,3 +193,14 @@ def test_groups_decode_alone_and_errors_are_rows(spark: SparkSession) -> None:
     by = {c: [f for f in frames if f.clip_id == c] for c in "abcde"}
     assert [(f.n, bytes(f.y), bytes(f.cr)) for f in sorted(by["a"])] == [(n, planes[0], planes[2]) for n in range(6)]
     assert all(len(by[c]) == 1 and by[c][0]._error for c in "bcd") and [f._error is None for f in sorted(by["e"], key=lambda f: f.n)] == [True, False]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 1), st.integers(1, 255)), max_size=400), st.integers(0, 2**20 - 1))
+def test_bool_coder(bits: list[tuple[int, int]], number: int) -> None:
+    w = BoolWriter()
+    for b, p in bits:
+        w.bit(b, p)
+    w.literal(number, 20)
+    r = BoolReader(w.bytes())
+    assert [r.bit(p) for _, p in bits] == [b for b, _ in bits] and r.literal(20) == number

@@ -42,7 +42,7 @@ def packets(frames: list, w: int, h: int, qp: int, cols: int = 1, rows: int = 1,
 
 @pytest.mark.parametrize(("qp", "floor", "most"), [(8, 40, 42_000), (20, 30, 28_000), (32, 24, 14_000)])
 def test_quality_and_size(qp: int, floor: float, most: int) -> None:
-    frames = [still(256, 192, s) for s in (1, 2)]
+    frames = [still(256, 192, 1)]
     coded = packets(frames, 256, 192, qp)
     assert all(len(d) <= most for _, _, d in coded)
     assert all(quality(f.planes[0], w[0]) >= floor for f, w in zip(codec.decode_gop(coded), frames, strict=True))
@@ -51,7 +51,7 @@ def test_quality_and_size(qp: int, floor: float, most: int) -> None:
 @pytest.mark.parametrize(("w", "h"), [(64, 48), (50, 37), (16, 16), (1, 1)])
 @pytest.mark.parametrize("source", [still, pan])
 def test_decoder_follows_encoder(w: int, h: int, source) -> None:  # noqa: ANN001
-    frames = [source(w, h, i) for i in range(5)]
+    frames = [source(w, h, i) for i in range(3)]
     for cols, rows, window in ((1, 1, 0), (2, 2, 0), (9, 9, 4)):
         done = list(tc.encode_group(frames, w, h, 16, cols, rows, window))
         coded = packets(frames, w, h, 16, cols, rows, window)
