@@ -42,8 +42,11 @@ def normalised(counts: DataFrame, keys: Sequence[str], sym: str = "sym") -> Data
     return counts.select(*names).groupBy(*keys).applyInArrow(run, f"{kinds}, freq long")
 
 
-def cost_bits(counts: DataFrame, table: DataFrame, keys: Sequence[str], sym: str = "sym") -> DataFrame:
-    """Bits that the counted symbols cost under a frequency table; symbols it lacks cost a fixed amount."""
-    both = counts.join(table.select(*keys, sym, "freq"), [*keys, sym], "left")
+def cost_bits(counts: DataFrame, table: DataFrame, keys: Sequence[str], sym: str = "sym", table_keys: Sequence[str] = ()) -> DataFrame:
+    """Bits that the counted symbols cost under a frequency table, summed by `keys`; symbols it lacks cost a fixed amount.
+
+    `table_keys` are the keys that the table has: none for one table for all.
+    """
+    both = counts.join(table.select(*table_keys, sym, "freq"), [*table_keys, sym], "left")
     bits = F.when(F.coalesce("freq", F.lit(0)) == 0, F.lit(UNSEEN_BITS)).otherwise(F.log2(F.lit(float(SCALE)) / F.col("freq")))
     return both.groupBy(*keys).agg(F.sum("count").alias("tokens"), F.round(F.sum(F.col("count") * bits), 3).alias("bits"))

@@ -200,17 +200,20 @@ def yuv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("rans_roundtrip", "F10 F11", f"WITH {token_queries._TOK}, {token_queries._FREQ} SELECT lang, sym, count FROM f")
 def rans_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each language's symbols coded in tiles (of a source) with the language's table, decoded, and counted."""
+    """Each document's symbols coded as a tile with its language's table, decoded, and counted."""
     rows = token_queries.symbols(spark, sf_dir).withColumn("ctx", F.col("lang"))
     counts = rows.groupBy("lang", "sym").agg(F.count("*").alias("count"))
     model = tokens.normalised(counts, ["lang"]).groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("sym", "freq"))).alias("freq"))
-    tiles = rows.groupBy("lang", "source").agg(F.collect_list("sym").alias("syms")).join(F.broadcast(model), "lang")
+    tiles = rows.groupBy("lang", "doc_id").agg(F.collect_list("sym").alias("syms")).join(model, "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        built: dict[str, list[rans.Table]] = {}
         for b in batches:
             for lang, syms, freq in zip(*(b.column(c).to_pylist() for c in ("lang", "syms", "freq")), strict=True):
-                known = dict(freq)
-                tables = [rans.Table([known.get(s, 0) for s in range(max(known) + 1)])]
+                if lang not in built:
+                    known = dict(freq)
+                    built[lang] = [rans.Table([known.get(s, 0) for s in range(max(known) + 1)])]
+                tables = built[lang]
                 decoder = rans.Decoder(rans.encode([(0, s) for s in syms], tables), tables)
                 back = [decoder.next(0) for _ in syms]
                 if back != syms:
@@ -222,8 +225,8 @@ def rans_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("bool_coder_roundtrip", "F8", f"WITH {token_queries._TOK} SELECT lang, sym, count FROM h")
 def bool_coder_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Symbols of four bits through the boolean coder with skewed probabilities, by document source, and counted."""
-    tiles = token_queries.symbols(spark, sf_dir).groupBy("lang", "source").agg(F.collect_list("sym").alias("syms"))
+    """Symbols of four bits through the boolean coder with skewed probabilities, document by document, and counted."""
+    tiles = token_queries.symbols(spark, sf_dir).groupBy("lang", "doc_id").agg(F.collect_list("sym").alias("syms"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -14,9 +14,9 @@ o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY f DESC, sym) AS r,
 
 
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(lang, source, sym): the length of each word, at most 15."""
+    """(doc_id, lang, source, sym): the length of each word, at most 15."""
     docs = table(spark, sf_dir, "documents")
-    return docs.select("lang", "source", F.explode(F.split("text", " ", -1)).alias("w")).select("lang", "source", F.least(F.length("w"), F.lit(15)).cast("long").alias("sym"))
+    return docs.select("doc_id", "lang", "source", F.explode(F.split("text", " ", -1)).alias("w")).select("doc_id", "lang", "source", F.least(F.length("w"), F.lit(15)).cast("long").alias("sym"))
 
 
 @query("token_histogram", "A5 F11", f"WITH {_TOK} SELECT * FROM h")
@@ -34,8 +34,7 @@ def token_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cost of every language's symbols under the model of English."""
     counts = tokens.histogram(symbols(spark, sf_dir), ctx="lang")
     model = tokens.normalised(counts.where("lang = 'en'"), ["lang"]).select("sym", "freq")
-    langs = counts.select("lang").distinct()
-    return tokens.cost_bits(counts, langs.join(F.broadcast(model.withColumn("_k", F.lit("en"))), F.lit("en") == F.col("_k")).drop("_k"), ["lang"])
+    return tokens.cost_bits(counts, model, ["lang"])
 
 
 @query("bit_audit_rollup", "A11", f"WITH {_TOK}, {_FREQ} SELECT lang, source, count(*) AS tokens, round(sum(log2(4096.0 / freq)), 3) AS bits, CAST(sum(CASE WHEN sym = 0 THEN 1 ELSE 0 END) AS BIGINT) AS empty FROM t JOIN f USING (lang, sym) GROUP BY ROLLUP (lang, source)")
@@ -44,7 +43,7 @@ def bit_audit_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_source = rows.groupBy("lang", "source", "sym").agg(F.count("*").alias("c"))
     model = tokens.normalised(by_source.groupBy("lang", "sym").agg(F.sum("c").alias("count")), ["lang"]).select("lang", "sym", "freq")
     bits = F.col("c") * F.log2(F.lit(4096.0) / F.col("freq"))
-    return by_source.join(F.broadcast(model), ["lang", "sym"]).rollup("lang", "source").agg(F.sum("c").alias("tokens"), F.round(F.sum(bits), 3).alias("bits"), F.sum(F.when(F.col("sym") == 0, F.col("c")).otherwise(0)).alias("empty"))
+    return by_source.join(model, ["lang", "sym"]).rollup("lang", "source").agg(F.sum("c").alias("tokens"), F.round(F.sum(bits), 3).alias("bits"), F.sum(F.when(F.col("sym") == 0, F.col("c")).otherwise(0)).alias("empty"))
 
 
 _POINTS = "p AS (SELECT o_custkey % 10 AS clip, o_orderkey % 5 AS codec, 20 + o_orderkey // 5 % 30 + o_custkey % 7 / 10.0 AS psnr, min(CAST(o_totalprice AS BIGINT) + 1) AS size FROM orders GROUP BY 1, 2, 3)"
