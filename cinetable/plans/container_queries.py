@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import rans, timing
 from ..functions.bool_coder import BoolReader, BoolWriter
 from ..operators import tokens
-from ..sources import gop_container, mp4, nal, obu, raw, webm
+from ..sources import gop_container, mp4, mpeg_ps, nal, obu, raw, webm
 from ..sources.bits import BitWriter
 from ..sources.packets import Packet, muxed, scan
 from . import pixel_queries, stream_queries, token_queries
@@ -103,6 +103,15 @@ def webm_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan(made, webm.parse, strict=True))
 
 
+@query("mpeg_scan", "S7", _EVENTS + " SELECT CAST(clip_id AS VARCHAR) AS clip_id, seq, CAST((pts_ns - 1704067200000000000) // 1000000000 * 1000000000 % 86400000000000 AS BIGINT) AS pts_ns, key AS is_key, octet_length(encode(props)) + CASE WHEN key THEN 28 ELSE 8 END AS bytes FROM f")
+def mpeg_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Program streams with an audio stream in between; key packets carry sequence and group headers. Stamps have 33
+    bits, so times are taken within a day."""
+    rows = event_packets(spark, sf_dir, 1_000_000_000).withColumn("pts_ns", F.col("pts_ns") % 86_400_000_000_000)
+    made = muxed(rows, lambda packets: mpeg_ps.build(packets, 160, 120))
+    return scan(made, mpeg_ps.parse, strict=True).select("clip_id", "seq", "pts_ns", "is_key", F.octet_length("data").alias("bytes"))
+
+
 def _unit_packets(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """Each document's lines as the units of one packet."""
 

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import gop_container, mp4, webm
+from . import gop_container, mp4, mpeg_ps, webm
 from .packets import Clip, files, scan
 
 #: Container parsers by extension.
-PARSERS: dict[str, Callable[[bytes], Clip]] = {"mp4": mp4.parse, "m4v": mp4.parse, "mov": mp4.parse, "webm": webm.parse, "mkv": webm.parse, "gop": gop_container.parse}
-_MARKS = [(b"\x1aE\xdf\xa3", 0, webm.parse), (gop_container.MAGIC, 0, gop_container.parse), (b"ftyp", 4, mp4.parse)]
+PARSERS: dict[str, Callable[[bytes], Clip]] = {"mp4": mp4.parse, "m4v": mp4.parse, "mov": mp4.parse, "webm": webm.parse, "mkv": webm.parse, "gop": gop_container.parse, "mpg": mpeg_ps.parse, "mpeg": mpeg_ps.parse}
+_MARKS = [(b"\x1aE\xdf\xa3", 0, webm.parse), (gop_container.MAGIC, 0, gop_container.parse), (b"ftyp", 4, mp4.parse), (b"\0\0\1\xba", 0, mpeg_ps.parse)]
 
 
 def parse_any(data: bytes) -> Clip:

@@ -12,7 +12,7 @@ from cinetable.functions import rans
 from cinetable.functions.bool_coder import BoolReader, BoolWriter
 from cinetable.operators import codec
 from cinetable.operators.tokens import repaired
-from cinetable.sources import dispatch, gop_container, mp4, nal, obu, webm
+from cinetable.sources import dispatch, gop_container, mp4, mpeg_ps, nal, obu, webm
 from cinetable.sources.bits import Bits, BitWriter, leb128, read_leb128
 from cinetable.sources.gop_container import Header
 from cinetable.sources.packets import Packet, scan
@@ -27,6 +27,9 @@ WANT = [(p.seq, p.pts_ns, p.is_key, p.data) for p in PACKETS]
 def test_round_trips() -> None:
     assert listed(gop_container.parse(FILE)) == WANT and Header.unpack(FILE) == HEAD
     assert listed(webm.parse(webm.build(PACKETS, 64, 48))) == WANT
+    pictures = mpeg_ps.parse(mpeg_ps.build(PACKETS, 64, 48))
+    assert (pictures.width, pictures.height, pictures.num) == (64, 48, 25)
+    assert [(s, t, k, d[28 if k else 8 :]) for s, t, k, d in listed(pictures)] == WANT
     front = b"\0\0\0\4\x67\x42\0\x0a" + b"\0\0\0\2\x68\xce"
     got = mp4.parse(mp4.build(PACKETS, 64, 48))
     assert (got.codec, got.width, got.height) == ("h264", 64, 48)
@@ -67,7 +70,7 @@ def test_writer_refuses(packets: list[Packet]) -> None:
 @settings(max_examples=300, deadline=None)
 @given(st.integers(0, len(FILE) - 1), st.integers(0, 255), st.integers(0, len(FILE)))
 def test_any_damage_gives_packets_or_a_value_error(at: int, value: int, keep: int) -> None:
-    for parse, data in ((gop_container.parse, FILE), (mp4.parse, mp4.build(PACKETS, 64, 48)), (webm.parse, webm.build(PACKETS, 64, 48))):
+    for parse, data in ((gop_container.parse, FILE), (mp4.parse, mp4.build(PACKETS, 64, 48)), (webm.parse, webm.build(PACKETS, 64, 48)), (mpeg_ps.parse, mpeg_ps.build(PACKETS, 64, 48))):
         broken = bytearray(data)
         broken[at % len(data)] = value
         try:
