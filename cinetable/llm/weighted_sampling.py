@@ -40,9 +40,17 @@ _OTHER_BLANKS = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u2
 
 def _mix(x: np.ndarray) -> np.ndarray:
     """SplitMix64's finaliser."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def _halves(bits: np.ndarray) -> np.ndarray:
+    """Each number's two halves of 32 bits, in floating point."""
+    return bits.view(np.uint32).astype(np.float32).reshape(*bits.shape, 2)
 
 
 class Sampler:
@@ -61,21 +69,28 @@ class Sampler:
 
     def _gamma(self, hashes: np.ndarray, stream: int) -> np.ndarray:
         """Gamma(2, 1): minus the logarithm of the product of two uniforms of 32 bits."""
-        bits = self._bits(hashes, stream)
-        half = np.float64(0.5)
-        product = ((bits >> np.uint64(32)) + half) * ((bits & np.uint64(0xFFFFFFFF)) + half) * 2.0**-64
-        return -np.log(product.astype(np.float32))
+        both = _halves(self._bits(hashes, stream))
+        both += np.float32(0.5)
+        product = both[..., 0] * both[..., 1]
+        product *= np.float32(2.0**-64 * (1 - 2.0**-22))  # below one, so that the result is above zero
+        np.log(product, out=product)
+        return np.negative(product, out=product)
 
     def _steps(self, hashes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """r, b and t of each (term, hash)."""
+        """r, b and t of each (term, hash). A weight of one has t = 0, whatever r is."""
         r = self._gamma(hashes, 0)
-        b = (self._bits(hashes, 2) >> np.uint64(11)) * 2.0**-53
-        return r, b, np.floor(np.log(weights) / r + b)
+        b = _halves(self._bits(hashes, 2))[..., 1] * np.float32(2.0**-32 * (1 - 2.0**-22))
+        t = np.zeros_like(r)
+        more = weights > 1
+        if more.any():
+            more = np.broadcast_to(more, r.shape)
+            t[more] = np.floor(np.broadcast_to(np.log(weights.astype(np.float32)), r.shape)[more] / r[more] + b[more])
+        return r, b, t
 
     def _learn(self, keys: list[Any]) -> None:
         start = len(self.rows)
-        for lo in range(0, len(keys), 512):  # blocks that stay in the processor's cache
-            some = keys[lo : lo + 512]
+        for lo in range(0, len(keys), 256):  # blocks that stay in the processor's cache
+            some = keys[lo : lo + 256]
             both = [(k, 1) if isinstance(k, str) else k for k in some]
             hashes = np.array([xxhash.xxh3_64_intdigest(t) for t, _ in both], np.uint64)
             weights = np.array([w for _, w in both], np.int64)
