@@ -20,6 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def widened(df: DataFrame) -> DataFrame:
+    """A table in fewer partitions than there are cores is dealt out evenly; a larger one stays as it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """This application's part of the folder that driver and executors share, spark.checkpoint.dir.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe_trie, license_scan, line_dedup, packing, pii, quality, simhash, token_counts, url_filter, weighted_sampling
-from .common import table
+from .common import table, widened
 
 #: The rules that every url is held against.
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -24,6 +24,10 @@ def listed_urls(spark: SparkSession) -> DataFrame:
     return spark.range(PAGES_LISTED).select("id", one(SPAM_HOSTS).alias("host")).select("id", "host", one(LANGS).alias("lang")).select(F.format_string("%s/%s/%d", "host", "lang", "id").alias("url"))
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return widened(table(spark, sf_dir, "documents"))
+
+
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), listed_urls(spark), URL_RULES).drop("possible_hit", "listed")
 
@@ -55,7 +59,7 @@ FROM r
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rejected_by isn't returned: which of several rules comes first may differ from run to run; the verdict doesn't."""
     measures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    judged = quality.judge_quality(table(spark, sf_dir, "documents"), measures=measures)
+    judged = quality.judge_quality(documents(spark, sf_dir), measures=measures)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return judged.select("doc_id", *measures, failed.alias("base_failed"), F.col("rejected_by").isNull().alias("kept"))
 
@@ -103,7 +107,7 @@ def document_paths(docs: DataFrame) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan_licenses(document_paths(table(spark, sf_dir, "documents")), keep=["doc_id"])
+    return license_scan.scan_licenses(document_paths(documents(spark, sf_dir)), keep=["doc_id"])
 
 
 OP3_SQL = r"""
@@ -136,7 +140,7 @@ FROM g LEFT JOIN near USING (rid) LEFT JOIN t a ON a.k = g.k LEFT JOIN t b ON b.
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """n_email to n_phone count the spans of the fixed patterns, as base_sha256 lists them; spans holds all."""
-    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    found = pii.find_pii(documents(spark, sf_dir))
     base = F.filter("spans", lambda s: s["by"] == "pattern")
     found = found.withColumn("base", base)
     of_kind = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
@@ -145,15 +149,15 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return packing.pack_documents(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return weighted_sampling.fingerprint_against_next(table(spark, sf_dir, "documents"))
+    return weighted_sampling.fingerprint_against_next(documents(spark, sf_dir))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    kept = line_dedup.dedup_lines(documents(spark, sf_dir))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
@@ -170,16 +174,16 @@ FROM j GROUP BY rid, doc_id
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    return token_counts.count_tokens(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe_trie.encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    coded = bpe_trie.encode_decode(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
     n_tokens = (F.octet_length("ids") / 4).cast("long")
     return coded.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 

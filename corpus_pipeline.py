@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinetable.llm import line_dedup, packing, pii, quality, simhash
-from cinetable.llm.common import staged, table
-from cinetable.llm.queries import tokenizer_file
+from cinetable.llm.common import staged
+from cinetable.llm.queries import documents, tokenizer_file
 
 
 def _recounted(docs: DataFrame) -> DataFrame:
@@ -49,7 +49,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
