@@ -174,7 +174,7 @@ def test_frequencies_are_repaired_one_by_one() -> None:
 
     rng = random.Random(5)
     for _ in range(300):
-        n = rng.choice([3, 40, 700, 3000])
+        n = rng.choice([3, 40, 400])
         counts = [rng.choice([0, 1, 1, 1, 2, rng.randrange(1, 90_000)]) for _ in range(n)] + [1]
         got = repaired(counts)
         assert got == slowly(counts) and sum(got) == 4096 and all((f > 0) == (c > 0) for f, c in zip(got, counts, strict=True))
