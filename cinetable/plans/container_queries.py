@@ -62,10 +62,11 @@ def split_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(spark.read.format("gop").load(path).where("seq BETWEEN 25 AND 47"))
 
 
-@query("file_headers", "S8", f"SELECT DISTINCT lang AS clip_id, 'EBIV' AS magic, 4 AS version, 48 AS size, {WIDTH} AS width, {HEIGHT} AS height, {NUM} AS num, {DEN} AS den, 0 AS tile_cols, 0 AS tile_rows FROM documents")
+@query("file_headers", "S8", f"SELECT DISTINCT lang AS clip_id, TRUE AS known, 4 AS version, 48 AS size, {WIDTH} AS width, {HEIGHT} AS height, {NUM} AS num, {DEN} AS den, 0 AS tile_cols, 0 AS tile_rows FROM documents")
 def file_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Header fields by SQL functions on the file's first bytes."""
-    return gop_files(spark, sf_dir).select("clip_id", raw.gop_file_header(F.col("content")).alias("h")).select("clip_id", "h.*")
+    heads = gop_files(spark, sf_dir).select("clip_id", raw.gop_file_header(F.col("content")).alias("h")).select("clip_id", "h.*")
+    return heads.withColumn("known", F.col("magic") == gop_container.MAGIC.decode()).drop("magic")
 
 
 @query("packet_headers", "P12", """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 1 END AS type, p_partkey % 8 AS coding, p_partkey % 3 = 0 AND p_partkey % 2 = 0 AS override,
