@@ -28,6 +28,8 @@ from .arrow import batch_of, model, slices
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Entries kept by a worker: encoded pre-tokens in each of two generations, and token pairs.
 CACHED_WORDS, CACHED_PAIRS = 250_000, 400_000
+#: Longer pre-tokens aren't kept, so that a cache of them has a bounded size.
+CACHED_CHARS = 64
 
 
 def byte_of_char() -> dict[str, int]:
@@ -126,7 +128,11 @@ class TrieBpe:
         kept = fresh.intersection(self.older)
         known.update(zip(kept, map(self.older.__getitem__, kept), strict=True))
         known.update(self.visit(fresh.difference(kept)))
-        return [b"".join(map(known.__getitem__, p)) for p in parts]
+        out = [b"".join(map(known.__getitem__, p)) for p in parts]
+        for word in fresh:
+            if len(word) > CACHED_CHARS:
+                del known[word]
+        return out
 
     def decode(self, ids: bytes) -> str:
         """As the library does: bytes that aren't UTF-8 become replacement characters."""

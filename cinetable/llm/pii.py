@@ -101,9 +101,17 @@ def shape(word: str) -> str:
     return "".join("0" if "0" <= c <= "9" else "X" if c.isupper() else "x" if c.isalpha() else c for c in word)
 
 
-@functools.lru_cache(100_000)
+#: Longer words are looked at anew each time, so that a cache of words has a bounded size.
+CACHED_CHARS = 64
+
+
 def own_features(word: str) -> tuple[str, ...]:
     """Features of a word by itself: shape with and without run lengths, letters of a hexadecimal group, digit checks."""
+    return (_own_features if len(word) <= CACHED_CHARS else _own_features.__wrapped__)(word)
+
+
+@functools.lru_cache(100_000)
+def _own_features(word: str) -> tuple[str, ...]:
     bare = core(word)
     full = _RUN_X.sub("X", _RUN_L.sub("x", shape(bare[:64])))
     digits = _NOT_DIGITS.sub("", bare)
@@ -119,8 +127,12 @@ def own_features(word: str) -> tuple[str, ...]:
     return tuple(found)
 
 
-@functools.lru_cache(100_000)
 def plain(word: str) -> bool:
+    return (_plain if len(word) <= CACHED_CHARS else _plain.__wrapped__)(word)
+
+
+@functools.lru_cache(100_000)
+def _plain(word: str) -> bool:
     return not _MATTERS.search(word) and core(word).lower().strip("()[]:=") not in ("at", "dot") and core(word).lower().strip(":=") not in _TRIGGERS
 
 

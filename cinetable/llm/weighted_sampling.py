@@ -31,6 +31,8 @@ from .common import BLANKS, spread
 SAMPLES = 128
 #: Rows of SAMPLES floats that a worker keeps for terms met before.
 CACHED_TERMS = 250_000
+#: Longer terms are known by a 128-bit hash, so that a cache of terms has a bounded size.
+CACHED_CHARS = 64
 #: Rows of a range that is read in order, and ranges at most (the bounds of ranges pass through the driver).
 RANGE_ROWS, MAX_RANGES = 1000, 4096
 _WORDS = re.compile(f"[^{BLANKS}]+")
@@ -106,6 +108,8 @@ class Sampler:
         counts = Counter(_WORDS.findall(text) if _OTHER_BLANKS.search(text) else text.split())
         if not counts:
             return None
+        if max(map(len, counts)) > CACHED_CHARS:
+            counts = Counter({t if len(t) <= CACHED_CHARS else f" {xxhash.xxh3_128_hexdigest(t)}": w for t, w in counts.items()})
         keys = [t if w == 1 else (t, w) for t, w in counts.items()]
         least, place = None, None
         for lo in range(0, len(keys), self.cached // 2):
