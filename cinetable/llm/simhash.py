@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import slices
-from .common import BLANKS, discard, staged
+from .common import BLANKS, staged
 from .components import connected_components
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 3
