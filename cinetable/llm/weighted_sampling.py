@@ -31,7 +31,7 @@ from .common import BLANKS, spread
 SAMPLES = 128
 #: Rows of SAMPLES floats that a worker keeps for terms met before.
 CACHED_TERMS = 250_000
-#: Longer terms are known by a 128-bit hash, so that a cache of terms has a bounded size.
+#: Longer terms are forgotten once used, so that a cache of terms has a bounded size.
 CACHED_CHARS = 64
 #: Rows of a range that is read in order, and ranges at most (the bounds of ranges pass through the driver).
 RANGE_ROWS, MAX_RANGES = 1000, 4096
@@ -64,6 +64,7 @@ class Sampler:
         self.scores = np.empty((cached, samples), np.float32)
         self.hashes, self.weights = np.empty(cached, np.uint64), np.empty(cached, np.int64)
         self.rows: dict[Any, int] = {}
+        self.used = 0
 
     def _bits(self, hashes: np.ndarray, stream: int) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -90,7 +91,8 @@ class Sampler:
         return r, b, t
 
     def _learn(self, keys: list[Any]) -> None:
-        start = len(self.rows)
+        start = self.used
+        self.used += len(keys)
         for lo in range(0, len(keys), 256):  # blocks that stay in the processor's cache
             some = keys[lo : lo + 256]
             both = [(k, 1) if isinstance(k, str) else k for k in some]
@@ -108,8 +110,6 @@ class Sampler:
         counts = Counter(_WORDS.findall(text) if _OTHER_BLANKS.search(text) else text.split())
         if not counts:
             return None
-        if max(map(len, counts)) > CACHED_CHARS:
-            counts = Counter({t if len(t) <= CACHED_CHARS else f" {xxhash.xxh3_128_hexdigest(t)}": w for t, w in counts.items()})
         keys = [t if w == 1 else (t, w) for t, w in counts.items()]
         least, place = None, None
         for lo in range(0, len(keys), self.cached // 2):
@@ -117,11 +117,14 @@ class Sampler:
             places = list(map(self.rows.get, some))
             if None in places:
                 fresh = [k for k, at in zip(some, places, strict=True) if at is None]
-                if len(self.rows) + len(fresh) > self.cached:
+                if self.used + len(fresh) > self.cached:
                     self.rows.clear()
-                    fresh = some
+                    self.used, fresh = 0, some
                 self._learn(fresh)
                 places = list(map(self.rows.__getitem__, some))
+                for k in fresh:
+                    if len(k if isinstance(k, str) else k[0]) > CACHED_CHARS:
+                        del self.rows[k]
             rows = np.array(places)
             scores = self.scores[rows]
             best = scores.argmin(axis=0)
