@@ -12,7 +12,7 @@ from .common import table, widened
 
 #: The rules that every url is held against.
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-#: The listed canonical URLs: every page of a spam host, by rule.
+#: The listed canonical URLs: pages 0..PAGES_LISTED - 1 of each spam host and language, as OP1_SQL has them; larger numbers aren't listed.
 SPAM_HOSTS = ["spam-farm.example.org", "spam-farm.example.com", "spam-farm.example.net"]
 LANGS = ["en", "de", "fr", "es"]
 PAGES_LISTED = 1000
