@@ -13,6 +13,7 @@ its answer.
 
 from __future__ import annotations
 
+import functools
 import json
 import zlib
 from collections.abc import Callable, Iterator
@@ -34,6 +35,7 @@ SHARD_PIECES = 8000
 def byte_level_encoder(blob: bytes) -> Callable[[str], np.ndarray]:
     """ids of a text under a byte-level BPE file of tokenizers, special strings in the text included."""
     import tiktoken
+    import tokenizers
 
     spec = json.loads(blob)
     if (spec.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or spec["pre_tokenizer"].get("add_prefix_space") or spec.get("normalizer"):
@@ -46,7 +48,15 @@ def byte_level_encoder(blob: bytes) -> Callable[[str], np.ndarray]:
     if any(b <= a for a, b in zip(merged, merged[1:], strict=False)):
         raise ValueError("ids do not rise with the order of merges")
     lib = tiktoken.Encoding("file", pat_str=PRETOKENS, mergeable_ranks=ranks, special_tokens=special)
-    return lambda text: lib.encode_to_numpy(text, allowed_special="all")
+    named = functools.lru_cache(1)(lambda: tokenizers.Tokenizer.from_buffer(blob))
+
+    def encode(text: str) -> np.ndarray:
+        try:
+            return lib.encode_to_numpy(text, allowed_special="all")
+        except ValueError:  # its pattern can't take runs of about a million blanks; tokenizers has no such bound
+            return np.array(named().encode(text, add_special_tokens=False).ids, np.uint32)
+
+    return encode
 
 
 def pieces(docs: DataFrame, vocab_path: str, limit: int = LIMIT, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:

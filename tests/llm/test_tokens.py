@@ -50,6 +50,20 @@ def test_tokens_follow_by_merging_and_special_strings() -> None:
     assert all(TRIE.merged(t) == [t] for t in random.Random(1).sample(sorted(TRIE.id_of), 3000))
 
 
+@pytest.mark.parametrize("blank", [" ", "\n", "\t", "\u00a0", " \n"])
+def test_packing_takes_very_long_blank_runs(blank: str) -> None:
+    text = "a<|endoftext|>" + blank * (1_000_500 // len(blank)) + "b"
+    assert FAST(text).tolist() == ids_of(text)
+
+
+def test_a_very_long_blank_run_is_packed(spark: SparkSession) -> None:
+    text = "a" + " " * 1_000_500
+    docs = spark.createDataFrame([(1, text), (2, "b")], "doc_id long, text string")
+    rows = packing.pack_documents(docs, BYTES, keep_ids=True).collect()
+    own = [i for r in sorted((r for r in rows if r.doc_id == 1), key=lambda r: r.piece) for i in array("I", bytes(r.ids))]
+    assert own == ids_of(text) + [2] and sum(r.doc_id == 2 for r in rows) == 1
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(some_text, min_size=1, max_size=6), st.integers(4, 40), st.integers(1, 6))
 def test_huge_counts(parts: list[str], chunk: int, overlap: int) -> None:
