@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import SparkSession
@@ -147,5 +148,27 @@ def test_licenses(spark: SparkSession, monkeypatch: pytest.MonkeyPatch, most: in
     assert [got[i] for i in range(9)] == ["MIT", "MIT", "Apache-2.0", "CC-BY-SA-4.0", "CC-BY-SA-4.0", "CC-BY-SA-4.0", None, "MIT", None]
 
 
+HEADER_LINES = [
+    ("MIT License", "MIT"), ("The MIT License (MIT)", "MIT"), ("Licensed under the MIT License.", "MIT"), ("This project is licensed under the MIT License.", "MIT"), ("# SPDX-License-Identifier: MIT", "MIT"),
+    ("BSD 3-Clause License", "BSD-3-Clause"), ("BSD 2-Clause License", "BSD-2-Clause"), (' * Licensed under the Apache License, Version 2.0 (the "License");', "Apache-2.0"), ("SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0"),
+    ("SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0"), ("GNU General Public License version 2", "GPL-2.0"), ("GNU General Public License v3", "GPL-3.0"), ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy", "MIT"), ("This Source Code Form is subject to the terms of the Mozilla Public", "MPL-2.0"), ("GNU AFFERO GENERAL PUBLIC LICENSE", "AGPL-3.0"),
+    ("mit", None), ("mit der Lizenz", None), ("license", None), ("version 2.0", None), ("version 3", None), ("Version 2.1", None), ("v3.0", None), ("v2.0", None), ("Apache License", None), ("GNU GENERAL PUBLIC LICENSE", None), ("GNU Lesser General Public License", None),
+    ("SPDX-License-Identifier: ISC", None), ("the terms of the license", None),
+]
+
+SYSTEM_TEXTS = Path("/usr/share/common-licenses")
+SYSTEM_LICENSES = [("Apache-2.0", "Apache-2.0"), ("GPL-3", "GPL-3.0"), ("GPL-2", "GPL-2.0"), ("LGPL-3", "LGPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0"), ("BSD", "BSD-3-Clause"), ("Artistic", None), ("CC0-1.0", None), ("GFDL-1.3", None)]
+
+
+def test_headers_and_full_texts(spark: SparkSession) -> None:
+    lines = [(f"{i}/a.py", "some code\n" + text, want) for i, (text, want) in enumerate(HEADER_LINES)]
+    wholes = [(f"system-{f}/LICENSE", (SYSTEM_TEXTS / f).read_text(encoding="utf-8"), want) for f, want in SYSTEM_LICENSES if (SYSTEM_TEXTS / f).is_file()]
+    heirs = [(p.replace("LICENSE", "src/x.py"), "x", n) for p, _, n in wholes]
+    files = spark.createDataFrame([f[:2] for f in lines + wholes + heirs], "path string, text string")
+    got = {r.path: r.license for r in license_scan.scan_licenses(files).collect()}
+    assert got == {p: want for p, _, want in lines + wholes + heirs}
+
+
 def test_licenses_empty(spark: SparkSession) -> None:
     assert license_scan.scan_licenses(spark.createDataFrame([], "path string, text string")).count() == 0
