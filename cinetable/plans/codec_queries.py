@@ -73,7 +73,7 @@ def vp8_reference_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.vp8_buffers(rows)
 
 
-@query("colocated_motion", "J6", _G + """, m AS (SELECT clip_id, seq, gop_id, event_id * 37 % 61 - 30 AS mv, event_id * 7 % 31 AS poc FROM g)
+@query("colocated_motion", "", _G + """, m AS (SELECT clip_id, seq, gop_id, event_id * 37 % 61 - 30 AS mv, event_id * 7 % 31 AS poc FROM g)
 SELECT a.clip_id, a.seq, a.mv - b.mv AS delta, abs(b.mv) <= 1 AS still FROM m a LEFT JOIN m b ON b.clip_id = a.clip_id AND b.gop_id = a.gop_id AND b.seq = a.seq - 2""")
 def colocated_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Motion against that of the same place two pictures ago, within the group."""

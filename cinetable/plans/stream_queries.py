@@ -124,7 +124,7 @@ def visible_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.selectExpr("clip_id", "seq", "pts_ns", "row_number() OVER (PARTITION BY clip_id ORDER BY seq) AS r").where("r <= 20").drop("r")
 
 
-@query("median_motion", "J4 F4", f"""WITH {PACKETS}, m AS (SELECT clip_id, seq, event_id * 37 % 61 - 30 AS v FROM p), n AS (SELECT *, coalesce(lag(v, 1) OVER w, 0) AS a, coalesce(lag(v, 2) OVER w, 0) AS b, coalesce(lag(v, 3) OVER w, 0) AS c FROM m WINDOW w AS (PARTITION BY clip_id ORDER BY seq))
+@query("median_motion", "F4", f"""WITH {PACKETS}, m AS (SELECT clip_id, seq, event_id * 37 % 61 - 30 AS v FROM p), n AS (SELECT *, coalesce(lag(v, 1) OVER w, 0) AS a, coalesce(lag(v, 2) OVER w, 0) AS b, coalesce(lag(v, 3) OVER w, 0) AS c FROM m WINDOW w AS (PARTITION BY clip_id ORDER BY seq))
 SELECT clip_id, seq, greatest(least(a, b), least(greatest(a, b), c)) AS predicted, v - greatest(least(a, b), least(greatest(a, b), c)) AS residual FROM n""")
 def median_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = packets(spark, sf_dir).selectExpr("clip_id", "seq", "event_id * 37 % 61 - 30 AS v")
