@@ -136,7 +136,7 @@ def av1_sequence_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", "p_size").mapInArrow(run, "p_partkey long, profile long, width long, height long, level long, superblock_128 boolean, order_bits long")
 
 
-@query("packet_throughput", "A12 T3", "SELECT user_id AS clip_id, date_trunc('hour', ts) AS start, count(*) AS packets, CAST(sum(CAST(event_type = 'signup' AS INT)) AS BIGINT) AS keys, CAST(sum(octet_length(encode(props))) AS BIGINT) AS bytes FROM events GROUP BY 1, 2")
+@query("packet_throughput", "A12", "SELECT user_id AS clip_id, date_trunc('hour', ts) AS start, count(*) AS packets, CAST(sum(CAST(event_type = 'signup' AS INT)) AS BIGINT) AS keys, CAST(sum(octet_length(encode(props))) AS BIGINT) AS bytes FROM events GROUP BY 1, 2")
 def packet_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").selectExpr("user_id AS clip_id", "date_trunc('hour', ts) AS start", "event_type = 'signup' AS is_key", "props")
     return rows.groupBy("clip_id", F.col("start").cast("timestamp_ntz").alias("start")).agg(F.count("*").alias("packets"), F.sum(F.col("is_key").cast("long")).alias("keys"), F.sum(F.octet_length("props")).cast("long").alias("bytes"))
