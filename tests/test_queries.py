@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -55,3 +58,8 @@ def test_entry(spark: SparkSession) -> None:
 def test_filters_and_columns_reach_the_scan(spark: SparkSession) -> None:
     plan = catalogue.QUERIES["gop_segment"](spark, SF)._jdf.queryExecution().toString()
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint,event_type:string>" in plan
+
+
+def test_the_rest_imports_without_a_library_of_the_training_data_operators() -> None:
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; names = set(e.queries()); assert 'flagship' in names and 'pipeline' not in names and not any(n.startswith('op') and n[2].isdigit() for n in names); assert set(e.oracle_sql()) <= names"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parent.parent, check=True, timeout=120)
