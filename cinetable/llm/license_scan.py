@@ -27,7 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let, salted_left_join, staged
+from .common import ascii_lower, let, salted_left_join, size_in_bytes, staged
 
 #: Licence names and their short notices.
 NOTICES = [
@@ -207,7 +207,7 @@ def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "tex
     # no text from here on
     slim = rows.select("_keep", "_path", "_hash", parent(F.col("_path")).alias("_dir"), F.xxhash64("_keep").alias("_row"))
     out = slim.join(own, ["_path", "_hash"], "left")
-    out = salted_left_join(out, nearest, "_dir", nearest.count())
+    out = salted_left_join(out, nearest, "_dir", size_in_bytes(nearest.select("_dir", "_near._above"), "_dir", "_above"))
     mine, near = F.col("_template").isNotNull(), (F.col("_near").isNotNull() & (F.col("_path") != ""))
     inherited = F.when(near, F.get(labels, F.col("_near._dir_template")))
     return out.select(

@@ -1,12 +1,15 @@
 """URL filter: host and path rules first, then a blocked Bloom filter in front of an exact hash join.
 
-The Bloom filter is a table of 256-bit blocks (four longs); a listed URL sets two bits in each long of one block.
-Pages probe it through a join on the block number, and only possible hits carry their canonical URL into the exact
-join, so false positives never reach the result. Both lookups are broadcast only when a count proves them small;
-beyond that they are shuffled with the small side replicated over salts, so that one very common URL is spread.
-
-Nulls, urls without `://` and empty texts have empty host and path, fit no rule and are allowed. Repeated rows are
-judged one by one. Extra columns of the input are dropped.
+The Bloom filter is cut into 256-bit blocks; a listed URL sets two bits in each of the four longs of one block. Blocks
+are packed into shards, one array of longs each, 32 bytes a block and nothing else. Pages probe the array of their
+shard, and only possible hits come to the exact join, so false positives never reach the result. Shards, and listed
+URLs, are broadcast if they have at most BROADCAST_BYTES (a million blocks, 16 million URLs); beyond that they are
+shuffled with the small side repeated over salts, so that one very common URL is spread, and pages that the filter
+rules out go around the exact join.
+
+Nulls, urls without `://` and empty texts have empty host and path, fit no rule and are allowed. Of rules that fit
+the longest wins, of equally long ones the last given. Urls of any length are judged whole. Repeated rows are judged
+one by one. An empty table gives an empty one; an empty list blocks nothing. Extra columns of the input are dropped.
 """
 
 from __future__ import annotations
@@ -16,13 +19,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, salted_left_join, staged
+from . import common
+from .common import ascii_lower, salted_left_join, size_in_bytes, staged
 
 #: (verdict, host, path prefix)
 Rule = tuple[str, str, str]
 
 BITS_PER_URL = 16
 BLOCK_BITS = 256
+#: Blocks of a shard: an array of 128 KB.
+SHARD_BLOCKS = 4096
 
 
 def host_of(url: Column) -> Column:
@@ -63,11 +69,14 @@ def _masks(key: Column) -> list[Column]:
     return [bit(2 * j).bitwiseOR(bit(2 * j + 1)) for j in range(4)]
 
 
-def bloom_blocks(listed: DataFrame, column: str, n_blocks: int) -> DataFrame:
-    """One row for each non-empty block: _block and the longs _w0.._w3."""
-    key = F.col(column)
-    masks = [m.alias(f"_m{j}") for j, m in enumerate(_masks(key))]
-    return listed.select(_block(key, n_blocks).alias("_block"), *masks).groupBy("_block").agg(*[F.bit_or(f"_m{j}").alias(f"_w{j}") for j in range(4)])
+def bloom_shards(listed: DataFrame, column: str, n_blocks: int) -> DataFrame:
+    """_shard and _words: the longs of its SHARD_BLOCKS blocks (the last shard may have fewer), one after the other."""
+    none = [F.lit(0).cast("long").alias(f"_m{j}") for j in range(4)]
+    masks = [m.alias(f"_m{j}") for j, m in enumerate(_masks(F.col(column)))]
+    marks = listed.select(_block(F.col(column), n_blocks).alias("_block"), *masks).unionAll(listed.sparkSession.range(n_blocks).select(F.col("id").alias("_block"), *none))
+    blocks = marks.groupBy("_block").agg(F.array(*[F.bit_or(f"_m{j}") for j in range(4)]).alias("_w"))
+    packed = blocks.groupBy(F.floor(F.col("_block") / SHARD_BLOCKS).alias("_shard")).agg(F.array_sort(F.collect_list(F.struct("_block", "_w"))).alias("_blocks"))
+    return packed.select("_shard", F.flatten(F.col("_blocks._w")).alias("_words"))
 
 
 def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url", listed_col: str = "url") -> DataFrame:
@@ -82,13 +91,18 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule], id_c
     judged = pages.select(F.col(id_col).alias("_row"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     judged = judged.select("*", rule.alias("rule"), verdict.alias("_verdict"), canonical(F.col("host"), F.col("path")).alias("_key"))
-    judged = judged.withColumn("_block", _block(F.col("_key"), n_blocks))
-    judged = salted_left_join(judged, bloom_blocks(keys, "_key", n_blocks), "_block", n_blocks)
-    inside = [F.col(f"_w{j}").bitwiseAND(m) == m for j, m in enumerate(_masks(F.col("_key")))]
-    possible = F.coalesce(inside[0] & inside[1] & inside[2] & inside[3], F.lit(False))
-    # Rows that the filter rules out get a key of their own, so they spread evenly and match nothing.
-    judged = judged.withColumn("possible_hit", possible).withColumn("_key", F.when(F.col("possible_hit"), F.col("_key")).otherwise(F.concat(F.lit(" "), F.col("_row").cast("string"))))
-    judged = salted_left_join(judged, keys.withColumn("_listed", F.lit(True)), "_key", n_listed)
+    block = _block(F.col("_key"), n_blocks)
+    judged = judged.select("*", F.floor(block / SHARD_BLOCKS).alias("_shard"), (F.pmod(block, F.lit(SHARD_BLOCKS)) * 4).cast("int").alias("_at"))
+    judged = salted_left_join(judged, bloom_shards(keys, "_key", n_blocks), "_shard", n_blocks * BLOCK_BITS // 8)
+    inside = [F.get("_words", F.col("_at") + j).bitwiseAND(m) == m for j, m in enumerate(_masks(F.col("_key")))]
+    judged = judged.select("_row", "host", "path", "rule", "_verdict", "_key", F.coalesce(inside[0] & inside[1] & inside[2] & inside[3], F.lit(False)).alias("possible_hit"))
+    exact = keys.withColumn("_listed", F.lit(True))
+    n_bytes = size_in_bytes(keys, "_key")
+    if n_bytes <= common.BROADCAST_BYTES:  # a null key meets nothing
+        judged = salted_left_join(judged.withColumn("_key", F.when(F.col("possible_hit"), F.col("_key"))), exact, "_key", n_bytes)
+    else:
+        around = judged.where("not possible_hit").withColumn("_listed", F.lit(None).cast("boolean"))
+        judged = salted_left_join(judged.where("possible_hit"), exact, "_key", n_bytes).unionByName(around)
     hit = F.coalesce(F.col("_listed"), F.lit(False))
     decided = F.coalesce(F.col("_verdict"), F.when(hit, F.lit("block")).otherwise(F.lit("allow")))
     return judged.select(F.col("_row").alias(id_col), "host", "path", "rule", decided.alias("verdict"), "possible_hit", hit.alias("listed"))

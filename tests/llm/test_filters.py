@@ -34,9 +34,9 @@ def judged(url: str | None, listed: set[str]) -> tuple[str, str, str | None, str
     return host, path, None, "block" if key in listed else "allow"
 
 
-@pytest.mark.parametrize("most", [100_000, 0])
+@pytest.mark.parametrize("most", [1 << 20, 0])
 def test_urls(spark: SparkSession, monkeypatch: pytest.MonkeyPatch, most: int) -> None:
-    monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", most)
     pages = spark.createDataFrame([(i, u, "a", "b") for i, u in enumerate(URLS)] + [(None, URLS[5], "a", "b")], "page_id long, url string, host string, verdict string")
     listed = queries.listed_urls(spark).unionAll(spark.createDataFrame([(None,)], "url string"))
     names = {r[0] for r in listed.collect() if r[0]}
@@ -49,6 +49,27 @@ def test_urls(spark: SparkSession, monkeypatch: pytest.MonkeyPatch, most: int) -
     assert sum(r.verdict == "block" for r in rows) >= 5
 
 
+def test_only_possible_hits_reach_the_exact_join(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)], "page_id long, url string")
+    frame = url_filter.filter_urls(pages, queries.listed_urls(spark), [])
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.split("\n")
+    at = next(i for i, line in enumerate(lines) if "Join LeftOuter" in line and "_key" in line)
+    depth = len(lines[at]) - len(lines[at].lstrip(" :+-"))
+    before = next(line for line in lines[at + 1 :] if "Filter" in line and len(line) - len(line.lstrip(" :+-")) > depth)
+    assert "Union" in plan and "&" in before and "coalesce" in before.lower()  # the filter on the bits of the words
+
+
+def test_bloom_shards_are_dense(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    monkeypatch.setattr(url_filter, "SHARD_BLOCKS", 8)
+    listed = spark.range(50).select(F.concat(F.lit("h/p"), F.col("id").cast("string")).alias("u"))
+    rows = {r._shard: r._words for r in url_filter.bloom_shards(listed, "u", 21).collect()}
+    assert {k: len(v) for k, v in rows.items()} == {0: 32, 1: 32, 2: 20}
+    pages = spark.range(100).select("id", F.concat(F.lit("x://h/p"), F.col("id").cast("string")).alias("url"))
+    assert url_filter.filter_urls(pages, listed, [], id_col="id", listed_col="u").where("listed and possible_hit").count() == 50
+
+
 def test_bloom_has_no_false_negatives_and_few_positives(spark: SparkSession) -> None:
     pages = spark.range(20_000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h.org/p"), F.col("id").cast("string")).alias("url"))
     listed = spark.range(2000).select(F.concat(F.lit("h.org/p"), F.col("id").cast("string")).alias("url"))
@@ -119,9 +140,9 @@ def own_license(path: str, text: str | None) -> tuple[float, int] | None:
     return (best[0], -best[1]) if best[0] >= license_scan.THRESHOLD else None
 
 
-@pytest.mark.parametrize("most", [100_000, 0])
+@pytest.mark.parametrize("most", [1 << 20, 0])
 def test_licenses(spark: SparkSession, monkeypatch: pytest.MonkeyPatch, most: int) -> None:
-    monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", most)
     mit, apache, cc = "Released under the MIT license", "// Licensed under the Apache License, Version 2.0", "Licensed under CC BY-SA 4.0"
     files = [
         ("a/LICENSE", mit), ("a/b/x.txt", "nothing"), ("a/b/c/y.txt", apache + "\nmore words"), ("a/b/c/z.txt", None), ("a/b/c/LICENSE", cc), ("a/b/c/d/e.txt", "long " * 40), ("q/r.txt", ""), (None, mit), (None, None),
