@@ -1,39 +1,41 @@
-"""Quality rules as a short-circuit cascade inside one projection.
+"""Quality rules as a short-circuit cascade of projections in one stage.
 
-Every rule is a rejection predicate over row-local measures. On a bounded sample the cost (seconds) and selectivity
-(share rejected) of each rule are estimated; rules then run in descending order of rejection per cost, as the
-branches of one CASE, so a row pays only for the rules up to its first rejection. The set of kept rows does not
-depend on the order, hence not on the sample or on timings.
+Every rule is a rejection predicate over measures of a row. On a bounded sample the cost of each rule (from the
+sample's characters and words and the measures that it needs beyond those already made) and its selectivity (rows
+rejected of those that the rules before it leave over) are estimated; rules then run in descending order of rejection
+per cost. A measure that no earlier rule has made stands behind the verdict so far, so a row pays only for the measures
+of the rules up to its first rejection. The set of kept rows does not depend on the order, hence not on the sample.
 
-Null and empty texts have no words. Rows are independent: ties, repeats and extra columns do not matter.
+Null and empty texts have no words. Texts of any length are measured whole. Rows are independent: ties and repeats
+are judged one by one, an empty table gives an empty one, and extra columns do not matter.
 """
 
 from __future__ import annotations
 
 import contextlib
-import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, discard, let, staged, words
+from .common import BLANKS, let, words
 
 #: About so many rows, from at most so many files, are what cost and selectivity are estimated on.
-SAMPLE_ROWS, SAMPLE_FILES = 400, 4
+SAMPLE_ROWS, SAMPLE_FILES = 1000, 4
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
 
 
-def word_chars(text: Column) -> Column:
-    """Code points outside BLANKS."""
-    return F.length(F.translate(F.coalesce(text, F.lit("")), BLANKS, "")).cast("long")
+def word_chars(tokens: Column) -> Column:
+    """Code points in words."""
+    return F.length(F.array_join(tokens, "")).cast("long")
 
 
 def char_count(text: Column, chars: str) -> Column:
-    return (F.length(F.coalesce(text, F.lit(""))) - F.length(F.translate(F.coalesce(text, F.lit("")), chars, ""))).cast("long")
+    """How many of `chars` the text holds: the length of what is left without the runs between them."""
+    return F.length(F.regexp_replace(F.coalesce(text, F.lit("")), "[^" + "".join(f"\\x{{{ord(c):x}}}" for c in chars) + "]+", "")).cast("long")
 
 
 def filled_lines(text: Column) -> Column:
@@ -45,54 +47,94 @@ def dup_lines(lines: Column) -> Column:
     return (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
 
 
-def repeat_words(tokens: Column, window: int = WINDOW) -> Column:
-    """Words that lie in a window of `window` words which the same array holds at least twice.
+def window_hashes(tokens: Column, window: int = WINDOW) -> Column:
+    """A 64-bit hash of each window of `window` tokens; no windows of fewer tokens than one more than that."""
 
-    Windows are compared by 64-bit hash. Texts without a repeated window, the common case, stop after one distinct;
-    in the others windows are sorted by (hash, place), and the union of repeated windows is measured by its gaps.
-    """
-    n = F.size(tokens)
+    def windows(h: Column) -> Column:
+        joint = lambda first, i: F.xxhash64(first, *[F.get(h, i + k) for k in range(1, window)])
+        return F.slice(F.transform(h, joint), 1, F.size(h) - (window - 1))
+
+    none = F.array().cast("array<bigint>")
+    return F.when(F.size(tokens) > window, let(F.transform(tokens, lambda t: F.xxhash64(t)), windows)).otherwise(none)
+
+
+def later_twins(in_order: Column) -> Column:
+    """Of a sorted array the elements that equal the one before them."""
+    return F.filter(in_order, lambda x, i: x == F.get(in_order, i - 1))
 
-    def covered(hashes: Column) -> Column:
-        ordered = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+
+def repeat_words(hashes: Column, twins: Column, window: int = WINDOW) -> Column:
+    """Words that lie in a window which the same text holds at least twice, from the windows' hashes and the later of
+    equal ones. Texts without any, the common case, cost nothing here; in the others windows are sorted by (hash,
+    place), and the union of repeated windows is measured by its gaps."""
+
+    def covered() -> Column:
+        in_order = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
         def starts(s: Column) -> Column:
             twin = F.filter(s, lambda x, j: (F.get(s, j - 1)["h"] == x["h"]) | (F.get(s, j + 1)["h"] == x["h"]))
-            return F.array_sort(F.transform(twin, lambda x: x["i"]))
+            return F.sort_array(F.transform(twin, lambda x: x["i"]))
 
         def lengths(p: Column) -> Column:
             gaps = F.transform(p, lambda at, j: F.least(F.lit(window), F.coalesce(F.get(p, j + 1) - at, F.lit(window))))
             return F.aggregate(gaps, F.lit(0), lambda acc, x: acc + x)
 
-        return let(ordered, lambda s: let(starts(s), lengths))
+        return let(in_order, lambda s: let(starts(s), lengths))
 
-    hashes = F.transform(F.sequence(F.lit(1), n - (window - 1)), lambda i: F.xxhash64(F.slice(tokens, i, window)))
-    found = let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(F.lit(0)))
-    return F.when(n > window, found).otherwise(F.lit(0)).cast("long")
+    return F.when(F.size(twins) == 0, 0).otherwise(covered()).cast("long")
+
+
+@dataclass(frozen=True)
+class Measure:
+    """A value of one row. `needs` are measures that it is made from. Costs are nanoseconds a character and a word of
+    the text, as measured once on long prose; only their proportions matter."""
+
+    value: Callable[[], Column]
+    needs: tuple[str, ...] = ()
+    per_char: float = 0.0
+    per_word: float = 0.0
+
+
+#: What rules are made from. Names with an underscore are intermediate.
+MEASURES: dict[str, Measure] = {
+    "_words": Measure(lambda: words(F.col("text")), (), 0, 800),
+    "_lines": Measure(lambda: filled_lines(F.col("text")), (), 60, 0),
+    "_windows": Measure(lambda: window_hashes(F.col("_words")), ("_words",), 0, 600),
+    "_sorted": Measure(lambda: F.sort_array("_windows"), ("_windows",), 0, 100),
+    "_twins": Measure(lambda: later_twins(F.col("_sorted")), ("_sorted",), 0, 100),
+    "n_words": Measure(lambda: F.size("_words").cast("long"), ("_words",)),
+    "word_chars": Measure(lambda: word_chars(F.col("_words")), ("_words",), 5, 0),
+    "n_symbols": Measure(lambda: char_count(F.col("text"), SYMBOLS), (), 30, 0),
+    "n_shouts": Measure(lambda: char_count(F.col("text"), "!"), (), 20, 0),
+    # lengths of what runs leave behind: a count of matches would build an array of all letters
+    "n_upper": Measure(lambda: F.length(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"\P{Lu}+", "")), (), 30, 0),
+    "n_letters": Measure(lambda: F.length(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"\P{L}+", "")), (), 70, 0),
+    "n_lines": Measure(lambda: F.size("_lines").cast("long"), ("_lines",)),
+    "n_dup_lines": Measure(lambda: dup_lines(F.col("_lines")), ("_lines",), 5, 0),
+    "n_repeat_words": Measure(lambda: repeat_words(F.col("_windows"), F.col("_twins")), ("_windows", "_twins"), 0, 400),
+}
 
 
 @dataclass(frozen=True)
 class QualityRule:
-    """`rejects` is a predicate over the column `text` and the measures in `needs`."""
+    """`rejects` is a predicate over the column `text` and the measures in `needs`; its own cost is in nanoseconds a
+    character, beyond that of its measures."""
 
     name: str
     rejects: Column
     needs: tuple[str, ...] = ()
+    per_char: float = 0.0
 
 
 def standard_rules() -> list[QualityRule]:
     """Cleaning rules on top of the base ones: symbol noise, shouting, repeated lines, too few letters."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    # lengths of what runs leave behind: a count of matches would build an array of all letters
-    upper = F.length(F.regexp_replace(text, r"\P{Lu}+", ""))
-    letters = F.length(F.regexp_replace(text, r"\P{L}+", ""))
     return [
         QualityRule("symbols", F.col("n_symbols") * 10 > F.col("n_words"), ("n_symbols", "n_words")),
         QualityRule("dup_lines", (F.col("n_dup_lines") >= 2) & (F.col("n_dup_lines") * 100 > F.lit(35) * F.col("n_lines")), ("n_dup_lines", "n_lines")),
         QualityRule("word_length", (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 20 * F.col("n_words")), ("word_chars", "n_words")),
-        QualityRule("shouting", char_count(text, "!") * 2 > F.col("n_words"), ("n_words",)),
-        QualityRule("upper_case", upper * 10 > letters * 3),
-        QualityRule("few_letters", letters * 2 < F.col("word_chars"), ("word_chars",)),
+        QualityRule("shouting", F.col("n_shouts") * 2 > F.col("n_words"), ("n_shouts", "n_words")),
+        QualityRule("upper_case", F.col("n_upper") * 10 > F.col("n_letters") * 3, ("n_upper", "n_letters")),
+        QualityRule("few_letters", F.col("n_letters") * 2 < F.col("word_chars"), ("n_letters", "word_chars")),
     ]
 
 
@@ -103,23 +145,27 @@ def base_rules() -> list[QualityRule]:
     ]
 
 
-def measured(df: DataFrame, names: Sequence[str], text_col: str = "text") -> DataFrame:
-    """Adds the measures asked for. Words and lines are split once, in a projection of their own."""
-    text = F.col(text_col)
-    out = df
-    if {"n_words", "n_repeat_words"} & set(names):
-        out = out.withColumn("_words", words(text))
-    if {"n_dup_lines", "n_lines"} & set(names):
-        out = out.withColumn("_lines", filled_lines(text))
-    every = {
-        "n_words": lambda: F.size("_words").cast("long"),
-        "word_chars": lambda: word_chars(text),
-        "n_symbols": lambda: char_count(text, SYMBOLS),
-        "n_lines": lambda: F.size("_lines").cast("long"),
-        "n_dup_lines": lambda: dup_lines(F.col("_lines")),
-        "n_repeat_words": lambda: repeat_words(F.col("_words")),
-    }
-    return out.withColumns({k: v() for k, v in every.items() if k in names}).drop("_words", "_lines")
+def made_of(names: Sequence[str], there: Sequence[str] = ()) -> list[str]:
+    """The measures `names` and all that they are made of but for those already there, in an order to make them in."""
+    out: list[str] = []
+
+    def add(name: str) -> None:
+        if name not in out and name not in there:
+            for n in MEASURES[name].needs:
+                add(n)
+            out.append(name)
+
+    for name in names:
+        add(name)
+    return out
+
+
+def measured(df: DataFrame, names: Sequence[str], there: Sequence[str] = (), only: Column | None = None) -> DataFrame:
+    """Adds measures of the column `text`, each in a projection of its own, and only of the rows where `only` holds."""
+    for name in made_of(names, there):
+        value = MEASURES[name].value()
+        df = df.withColumn(name, value if only is None else F.when(only, value))
+    return df
 
 
 def fenced(rows: DataFrame, keep: Column) -> DataFrame:
@@ -138,59 +184,70 @@ def bounded_sample(df: DataFrame) -> DataFrame:
     return df.sample(False, min(1.0, SAMPLE_ROWS / max(1, df.count())), 17)
 
 
-def estimate(sample: DataFrame, rules: Sequence[QualityRule]) -> list[tuple[QualityRule, float, float]]:
-    """(rule, seconds, share rejected) of each rule on the sample's `text`; an empty sample gives share 0."""
-    sample = staged(sample.select("text").repartition(1), "quality-sample")
-
-    def timed(*needs: str, rejects: Column) -> tuple[float, float]:
-        began = time.perf_counter()
-        row = measured(sample, needs).agg(F.avg(F.coalesce(rejects, F.lit(False)).cast("double"))).first()
-        return time.perf_counter() - began, float(row[0] or 0.0)
-
-    idle = min(timed(rejects=F.col("text").isNull())[0] for _ in range(2))
-    found = [(rule, *timed(*rule.needs, rejects=rule.rejects)) for rule in rules]
-    discard(sample)
-    return [(rule, max(s - idle, 1e-3), share) for rule, s, share in found]
-
-
-def ordered(found: Sequence[tuple[QualityRule, float, float]]) -> list[QualityRule]:
-    """By rejection per cost, the best first; ties by name."""
-    return [r for r, _, _ in sorted(found, key=lambda x: (-x[2] / x[1], x[0].name))]
-
-
-def cascade(rules: Sequence[QualityRule]) -> Column:
-    """The name of the first rule that rejects the row, else null."""
-    out = F.lit(None).cast("string")
-    for rule in reversed(rules):
-        out = F.when(rule.rejects, F.lit(rule.name)).otherwise(out)
+@dataclass(frozen=True)
+class Sampled:
+    """What a sample tells: rows, their mean characters and words, and for each set of rules how many rows exactly
+    these reject."""
+
+    rows: int
+    chars: float
+    words: float
+    rejected: dict[frozenset[str], int]
+
+
+def sampled(sample: DataFrame, rules: Sequence[QualityRule]) -> Sampled:
+    """One job over a sample's `text`. Sets of rules that occur are at most 2 to the number of rules."""
+    verdicts = measured(sample.select("text"), sorted({n for r in rules for n in r.needs} | {"n_words"}))
+    caught = F.array_compact(F.array(*[F.when(r.rejects, F.lit(r.name)) for r in rules]))
+    found = verdicts.select(caught.alias("c"), "n_words", F.length("text").alias("n_chars")).groupBy("c").agg(F.count("*"), F.sum("n_chars"), F.sum("n_words")).collect()
+    n = sum(r[1] for r in found)
+    return Sampled(n, sum(r[2] or 0 for r in found) / max(1, n), sum(r[3] or 0 for r in found) / max(1, n), {frozenset(r[0]): r[1] for r in found})
+
+
+def cost(rule: QualityRule, there: Sequence[str], of: Sampled) -> float:
+    """Nanoseconds a row, with the measures `there` already made."""
+    new = [MEASURES[n] for n in made_of(rule.needs, there)]
+    return 1 + (sum(m.per_char for m in new) + rule.per_char) * of.chars + sum(m.per_word for m in new) * of.words
+
+
+def ordered(rules: Sequence[QualityRule], of: Sampled, there: Sequence[str] = ()) -> list[QualityRule]:
+    """By rejection per cost, the best first; ties by cost, then name. Each rule is weighed on the rows that those
+    before it leave over, with the measures that these have made."""
+    out: list[QualityRule] = []
+    left, made, open_rules = dict(of.rejected), list(there), list(rules)
+    while open_rules:
+        costs = {r.name: cost(r, made, of) for r in open_rules}
+        best = min(open_rules, key=lambda r: (-sum(n for names, n in left.items() if r.name in names) / costs[r.name], costs[r.name], r.name))
+        out.append(best)
+        open_rules.remove(best)
+        made += made_of(best.needs, made)
+        left = {names: n for names, n in left.items() if best.name not in names}
     return out
 
 
-def _judged(docs: DataFrame, rules: Sequence[QualityRule] | None, text_col: str, keep: Sequence[str], measures: Sequence[str]) -> tuple[DataFrame, Column]:
-    """Rows with _keep and the measures, and the name of the rule that rejects a row.
+def _judged(docs: DataFrame, rules: Sequence[QualityRule] | None, text_col: str, keep: Sequence[str], measures: Sequence[str]) -> DataFrame:
+    """Rows with _keep, the measures asked for, and rejected_by: the first rule that rejects a row, else null.
 
-    n_repeat_words is dear. Unless it is asked for, it is taken of those rows only that every rule before it passes.
+    Measures asked for are taken of every row. Any other is taken when the first rule that needs it is reached, and
+    only of the rows that all rules before it pass.
     """
     rules = list(standard_rules() + base_rules() if rules is None else rules)
-    rules = ordered(estimate(bounded_sample(docs).select(F.col(text_col).alias("text")), rules))
-    rows = docs.select(F.struct(*keep).alias("_keep"), F.col(text_col).alias("text"))
-    needs = {n for r in rules for n in r.needs} | set(measures)
-    at = next((i for i, r in enumerate(rules) if "n_repeat_words" in r.needs), None)
-    if at is None or "n_repeat_words" in measures:
-        return measured(rows, sorted(needs)), cascade(rules)
-    first = measured(rows, sorted(needs - {"n_repeat_words"})).withColumn("_first", cascade(rules[:at]))
-    repeated = F.when(F.col("_first").isNull(), let(words(F.col("text")), repeat_words))
-    rows = first.withColumn("n_repeat_words", repeated)
-    return rows, F.coalesce(F.col("_first"), cascade(rules[at:]))
+    rules = ordered(rules, sampled(bounded_sample(docs.select(F.col(text_col).alias("text"))), rules), made_of(measures))
+    rows = measured(docs.select(F.struct(*keep).alias("_keep"), F.col(text_col).alias("text")), measures)
+    made, verdict = made_of(measures), F.lit(None).cast("string")
+    for rule in rules:
+        if new := made_of(rule.needs, made):
+            rows = measured(rows.withColumn("_verdict", verdict), rule.needs, made, F.col("_verdict").isNull())
+            verdict, made = F.col("_verdict"), made + new
+        verdict = F.coalesce(verdict, F.when(rule.rejects, F.lit(rule.name)))
+    return rows.withColumn("rejected_by", verdict)
 
 
 def judge_quality(docs: DataFrame, rules: Sequence[QualityRule] | None = None, text_col: str = "text", keep: Sequence[str] = ("doc_id",), measures: Sequence[str] = ()) -> DataFrame:
     """Columns `keep`, the measures asked for, and rejected_by (null for rows to keep)."""
-    rows, verdict = _judged(docs, rules, text_col, keep, measures)
-    return rows.select("_keep.*", *measures, verdict.alias("rejected_by"))
+    return _judged(docs, rules, text_col, keep, measures).select("_keep.*", *measures, "rejected_by")
 
 
 def keep_good(docs: DataFrame, rules: Sequence[QualityRule] | None = None, text_col: str = "text") -> DataFrame:
     """The rows that no rule rejects, with all their columns."""
-    rows, verdict = _judged(docs, rules, text_col, docs.columns, ())
-    return fenced(rows.withColumn("_verdict", verdict), F.col("_verdict").isNull()).select("_keep.*")
+    return fenced(_judged(docs, rules, text_col, docs.columns, ()), F.col("rejected_by").isNull()).select("_keep.*")

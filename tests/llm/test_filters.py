@@ -105,7 +105,7 @@ def test_quality_verdicts_do_not_depend_on_order_or_measures(spark: SparkSession
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     key = lambda r: (r.doc_id, r.rejected_by is None)
     full = Counter(map(key, quality.judge_quality(docs, measures=names).collect()))
-    monkeypatch.setattr(quality, "ordered", lambda found: [r for r, _, _ in reversed(found)])
+    monkeypatch.setattr(quality, "ordered", lambda rules, of, there=(): rules[::-1])
     assert Counter(map(key, quality.judge_quality(docs).collect())) == full
     kept = quality.keep_good(docs)
     assert kept.columns == docs.columns
@@ -114,8 +114,38 @@ def test_quality_verdicts_do_not_depend_on_order_or_measures(spark: SparkSession
 
 
 def test_quality_orders_by_rejection_per_cost() -> None:
-    rules = [quality.QualityRule(n, None) for n in "abc"]  # type: ignore[arg-type]
-    assert [r.name for r in quality.ordered([(rules[0], 1.0, 0.1), (rules[1], 0.1, 0.1), (rules[2], 1.0, 0.5)])] == ["b", "c", "a"]
+    rule = lambda name, *needs, per_char=0.0: quality.QualityRule(name, None, needs, per_char)  # type: ignore[arg-type]
+    dear, cheap, shared = rule("dear", "n_repeat_words"), rule("cheap", "n_shouts"), rule("shared", "n_words", "n_shouts")
+    of = lambda **rejected: quality.Sampled(100, 1000.0, 160.0, {frozenset(k.split("_")): n for k, n in rejected.items()})
+    names = lambda found: [r.name for r in found]
+    assert names(quality.ordered([dear, cheap], of(dear=10, cheap=10))) == ["cheap", "dear"]
+    assert names(quality.ordered([dear, cheap], of(dear=60, cheap=1))) == ["dear", "cheap"]
+    # what the first rule rejects counts no more for the others, and what it has made is free for them
+    assert names(quality.ordered([dear, cheap, shared], of(dear=5, cheap_dear=30, shared=9))) == ["cheap", "shared", "dear"]
+    assert names(quality.ordered([dear, cheap, shared], of(dear=5, shared=5, cheap=5), quality.made_of(["n_repeat_words"]))) == ["dear", "cheap", "shared"]
+
+
+def test_ten_estimates_give_one_order(spark: SparkSession) -> None:
+    rules = quality.standard_rules() + quality.base_rules()
+    estimates = [quality.sampled(quality.bounded_sample(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")), rules) for _ in range(10)]
+    assert all(e == estimates[0] for e in estimates) and 500 < estimates[0].rows < 1500
+    assert len({tuple(r.name for r in quality.ordered(rules, e)) for e in estimates}) == 1
+
+
+def test_a_measure_waits_for_the_rules_before_its_own(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    """`word_chars` fails on any row it is taken of, so it must not be taken of rows that `too_short` rejects."""
+    docs = spark.createDataFrame([(1, "too short"), (2, "of three words")], "doc_id long, text string")
+    dear = quality.Measure(lambda: F.raise_error(F.lit("taken")).cast("long"), (), 1000, 0)
+    monkeypatch.setitem(quality.MEASURES, "word_chars", dear)
+    rules = [quality.QualityRule("late", F.col("word_chars") > 0, ("word_chars",)), quality.base_rules()[0]]
+    monkeypatch.setattr(quality, "sampled", lambda sample, rules: quality.Sampled(2, 12.0, 2.5, {frozenset(["too_short"]): 2}))
+    assert [r.rejected_by for r in quality.judge_quality(docs, rules).collect()] == ["too_short"] * 2
+
+
+def test_quality_of_a_text_of_many_megabytes(spark: SparkSession) -> None:
+    text = " ".join(f"w{i}" for i in range(700_000)) + "\n" + "a b c d e f\n" * 40_000
+    (row,) = quality.judge_quality(spark.createDataFrame([(1, text)], "doc_id long, text string"), measures=("n_words", "n_dup_lines", "n_repeat_words")).collect()
+    assert (row.n_words, row.n_dup_lines, row.n_repeat_words) == (940_000, 39_999, 240_000)
 
 
 def test_quality_empty(spark: SparkSession) -> None:
