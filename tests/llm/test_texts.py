@@ -17,6 +17,7 @@ import corpus_pipeline
 from cinetable.llm import components, line_dedup, pii, simhash, weighted_sampling
 
 from .fixtures import documents, texts, words
+from .pii_cases import CASES
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -69,6 +70,32 @@ def test_field_on_held_out_rows() -> None:
     assert both / n_want > 0.93 and both / n_got > 0.93
 
 
+def test_field_on_hand_written_texts() -> None:
+    found = pii.find_spans([t for t, _ in CASES], pii.standard_field())
+    want = {(i, k, x) for i, (_, spans) in enumerate(CASES) for k, x in spans}
+    got = {(i, k, CASES[i][0][a:b]) for i, (_, added) in enumerate(found) for k, a, b in added}
+    assert len(want) >= 35 and len(want & got) / len(want) >= 0.9 and len(want & got) / len(got) >= 0.9, want ^ got
+
+
+def test_a_field_of_ones_own(spark: SparkSession) -> None:
+    rows = [(["seat", f"{k}-A{k}"], ["O", "B-phone"]) for k in range(10, 60)] + [(["a", "b", "c"], ["O"] * 3), (["x"], None), ([], [])]
+    labelled = spark.createDataFrame(rows, "words array<string>, labels array<string>")
+    field = pii.field_of(labelled)
+    assert [pii.LABELS[k] for k in field.decode([field.scores(["the", "seat", "33-A33"])])[0]] == ["O", "O", "B-phone"]
+    docs = spark.createDataFrame([(1, "tel 613 555 3280")], "doc_id long, text string")
+    assert pii.find_pii(docs, labelled=labelled.limit(0)).first().spans == []
+    with pytest.raises(ValueError, match="unknown labels"):
+        pii.field_of(spark.createDataFrame([(["a"], ["B-name"])], "words array<string>, labels array<string>"))
+
+
+def test_long_words_are_read_whole() -> None:
+    field = pii.standard_field()
+    local = "a" * 300
+    ((_, added),) = pii.find_spans([f"mail {local} (at) mail (dot) com and tel 030/1234567"], field)
+    assert [k for k, _, _ in added] == ["email", "phone"] and added[0][2] - added[0][1] > 300
+    pii.find_spans(["1-" * 300_000 + " call " + "x:" * 200_000 + " dot at " * 1000], field)
+
+
 def test_viterbi_is_the_best_path() -> None:
     rng, field = np.random.default_rng(2), pii.standard_field()
     small = pii.Field(field.names, field.weights, rng.normal(size=(len(pii.LABELS),) * 2))
