@@ -7,13 +7,14 @@ without one inherits that of the nearest directory above it that holds a licence
 
 Files, then lines, are first narrowed by a bound: whatever else a line holds, its cosine is at most the length of the
 template's unit vector on the terms that the line has. So the narrowing drops no match, and few lines are split into
-terms. The vocabulary is as large as the templates and is broadcast; all else is aggregated before it is joined.
+terms. The vocabulary is as large as the templates and is broadcast if it has at most BROADCAST_BYTES; all else is
+aggregated before it is joined.
 Templates are notices, titles, first lines of headers, SPDX identifiers and lines that only one licence has; lines are scored one by one, so a
 notice inside a longer line, or a licence wrapped over several lines of a file of another name, can be missed.
 
 Null and empty texts have no licence of their own; a null path has no directory and inherits nothing. Of several
-licence files of one directory the best cosine counts, then the earlier template. Repeated rows get equal answers.
-Extra columns are dropped.
+licence files of one directory the best cosine counts, then the earlier template. Texts of any length are scanned
+whole. Repeated rows get equal answers, an empty table gives an empty one. Extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .common import ascii_lower, let, salted_left_join, size_in_bytes, staged
 
 #: Licence names and their short notices.
@@ -117,6 +119,8 @@ TEMPLATES = (
     + [(n, f"SPDX-License-Identifier: {n}") for n in SPDX]
 )
 THRESHOLD = 0.75
+#: Templates that a table may hold at most.
+MOST_TEMPLATES = 2000
 LICENSE_NAMES = r"(?i)^(licen[cs]e|copying|notice)(\.\w+)?$"
 
 
@@ -142,7 +146,8 @@ def may_match(text: Column, units: Sequence[dict[str, float]], threshold: float,
     """
     names = sorted({t for unit in units for t in unit})
     held = lambda low: F.transform(F.expr("array(" + ", ".join(f"' {n} '" if whole_words else f"'{n}'" for n in names) + ")"), lambda n: F.contains(low, n))
-    least = threshold * threshold - 1e-9
+    # scores are rounded to 6 places before they are compared
+    least = (threshold - 1e-6) ** 2
 
     # Literals of one array: written out as columns, so many templates would take minutes to plan.
     parts = (", ".join(f"named_struct('i', {names.index(t)}, 'w', {w * w!r}D)" for t, w in sorted(unit.items())) for unit in units)
@@ -170,7 +175,8 @@ def own_licenses(files: DataFrame, templates: Sequence[tuple[str, str]], thresho
     spark = files.sparkSession
     rows = [(t, w, [(k, unit[t]) for k, unit in enumerate(units) if t in unit]) for t, w in sorted(idf.items())]
     vocabulary = spark.createDataFrame(rows, "_term string, _idf double, _units array<struct<k: int, u: double>>")
-    terms = terms.join(F.broadcast(vocabulary), "_term", "left").withColumn("_weight", F.col("_tf") * F.coalesce("_idf", F.lit(other)))
+    size = sum(len(t) + 32 + 16 * len(found) for t, _, found in rows)
+    terms = terms.join(F.broadcast(vocabulary) if size <= common.BROADCAST_BYTES else vocabulary, "_term", "left").withColumn("_weight", F.col("_tf") * F.coalesce("_idf", F.lit(other)))
     # -1 stands for the part itself, the others for the templates
     own, none = F.struct(F.lit(-1).alias("k"), F.col("_weight").alias("u")), F.expr("cast(array() as array<struct<k: int, u: double>>)")
     dots = terms.select("_path", "_hash", "_line", "_weight", F.explode(F.concat(F.array(own), F.coalesce("_units", none))).alias("_e"))
@@ -182,13 +188,29 @@ def own_licenses(files: DataFrame, templates: Sequence[tuple[str, str]], thresho
     return best.select("_path", "_hash", (-F.col("_best.k")).alias("_template"), F.col("_best.s").alias("_score"))
 
 
+def template_rows(templates: Sequence[tuple[str, str]] | DataFrame, most: int = MOST_TEMPLATES) -> list[tuple[str, str]]:
+    """(licence, text) of each template. A table has these two columns, and may have several rows of one licence; rows
+    with a null or without a term are left out, and so are repeats. Its order is that of its rows by name and text.
+    More than `most` rows are refused: the templates are part of the plan."""
+    if not isinstance(templates, DataFrame):
+        return list(templates)
+    found = templates.select("license", "text").where("license is not null and text is not null").distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} templates")
+    return sorted((r[0], r[1]) for r in found if terms_of(r[1]))
+
+
 def parent(path: Column) -> Column:
     """The directory of a path; the root is the empty string."""
     return F.regexp_extract(path, "^(.*)/[^/]*$", 1)
 
 
-def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "text", keep: Sequence[str] = (), templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, names: str = LICENSE_NAMES) -> DataFrame:
-    """Columns `keep`, path, license, score, and found_in: 'file', the directory inherited from, or null."""
+def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "text", keep: Sequence[str] = (), templates: Sequence[tuple[str, str]] | DataFrame = TEMPLATES, threshold: float = THRESHOLD, names: str = LICENSE_NAMES) -> DataFrame:
+    """Columns `keep`, path, license, score, and found_in: 'file', the directory inherited from, or null.
+
+    `templates`: pairs of a licence and a text, or a table of them (see `template_rows`), full texts included.
+    """
+    templates = template_rows(templates)
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = F.regexp_extract(F.coalesce(F.col(path_col), F.lit("")), "([^/]*)$", 1)
     rows = files.select(F.struct(*keep, F.col(path_col).alias("path")).alias("_keep"), F.coalesce(F.col(path_col), F.lit("")).alias("_path"), F.xxhash64(text).alias("_hash"), base.rlike(names).alias("_whole"), text.alias("_text"))

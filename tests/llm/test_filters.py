@@ -221,5 +221,27 @@ def test_headers_and_full_texts(spark: SparkSession) -> None:
     assert got == {p: want for p, _, want in lines + wholes + heirs}
 
 
+def test_templates_as_a_table_with_full_texts(spark: SparkSession) -> None:
+    """Each licence's own text, header and SPDX line are found, with templates from a table."""
+    full = [(n, (SYSTEM_TEXTS / f).read_text(encoding="utf-8")) for f, n in SYSTEM_LICENSES if n and (SYSTEM_TEXTS / f).is_file()]
+    lines = [("X-1.0", "Permission to juggle this software with three hands is granted."), ("X-1.0", "SPDX-License-Identifier: X-1.0"), ("Y", "All juggling prohibited by Y")]
+    table = spark.createDataFrame(lines + full + [lines[0], (None, "a"), ("Z", None), ("Z", "--")], "license string, text string")
+    files = [("x/LICENSE", lines[0][1]), ("x/src/a.c", "int x;"), ("b.c", "// SPDX-License-Identifier: X-1.0\nint y;"), ("c.c", "/* all juggling prohibited by y */")] + [(f"{n}/LICENSE", t) for n, t in full]
+    got = {r.path: r.license for r in license_scan.scan_licenses(spark.createDataFrame(files, "path string, text string"), templates=table).collect()}
+    assert got == {"x/LICENSE": "X-1.0", "x/src/a.c": "X-1.0", "b.c": "X-1.0", "c.c": "Y"} | {f"{n}/LICENSE": n for n, _ in full}
+    assert len(license_scan.template_rows(table)) == 3 + len(full)
+    with pytest.raises(ValueError, match="more than 2"):
+        license_scan.template_rows(table, most=2)
+
+
+def test_the_bound_keeps_what_rounds_up_to_the_threshold(spark: SparkSession) -> None:
+    """A line whose cosine lies between the threshold less half a millionth and the threshold is scored as equal to it."""
+    line, units = "alpha gamma", license_scan.vectors([("A", "alpha beta gamma"), ("B", "beta")])[1]
+    reach = math.sqrt(sum(w * w for t, w in units[0].items() if t in line.split()))
+    row = spark.createDataFrame([(line,)], "text string")
+    assert row.where(license_scan.may_match(F.col("text"), units, reach + 4e-7)).count() == 1
+    assert row.where(license_scan.may_match(F.col("text"), units, reach + 4e-6)).count() == 0
+
+
 def test_licenses_empty(spark: SparkSession) -> None:
     assert license_scan.scan_licenses(spark.createDataFrame([], "path string, text string")).count() == 0
