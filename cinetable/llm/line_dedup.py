@@ -35,6 +35,8 @@ SHARD_PROBES = 32_000
 GAMMA, LEVELS = 1.5, 48
 #: Salted shards that are broadcast at most; their number is at most probes / SHARD_PROBES.
 BROADCAST_ROWS = 200_000
+#: Parts over which the rows without an id are dealt.
+NULL_SALTS = 64
 _BLANKS = BLANKS.encode()
 
 
@@ -225,7 +227,12 @@ def _deduped(docs: DataFrame, min_chars: int, min_docs: int, id_col: str, text_c
             yield batch_of(out.insert(0, batch.schema.field("_keep")), [batch.column("_keep"), texts, totals, dropped])
 
     kind = rows.schema["_keep"].dataType.simpleString()
-    return rows.join(drops, "_doc", "left").select("_keep", "_text", "_drops").mapInArrow(run, f"_keep {kind}, text string, n_lines long, n_dropped long")
+    # A null id is the smallest document. Its rows, however many, share one entry of `drops`: they are dealt over salts.
+    salt = F.when(F.col("_doc") == least, F.pmod(F.xxhash64("_text"), F.lit(NULL_SALTS))).otherwise(0).cast("int")
+    rows = rows.withColumn("_salt", salt)
+    every = F.when(F.col("_doc") == least, F.sequence(F.lit(0), F.lit(NULL_SALTS - 1))).otherwise(F.array(F.lit(0)))
+    drops = drops.withColumn("_salt", F.explode(every))
+    return rows.join(drops, ["_doc", "_salt"], "left").select("_keep", "_text", "_drops").mapInArrow(run, f"_keep {kind}, text string, n_lines long, n_dropped long")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -25,15 +25,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import batch_of, model, slices
-from .bpe_trie import PRETOKENS, byte_of_char
+from .bpe_trie import PRETOKENS, TrieBpe, byte_of_char
 from .common import spread
 
 LIMIT, END_ID = 1024, 2
 SHARD_PIECES = 8000
 
 
-def byte_level_encoder(blob: bytes) -> Callable[[str], np.ndarray]:
-    """ids of a text under a byte-level BPE file of tokenizers, special strings in the text included."""
+@functools.lru_cache(2)
+def merges_to_itself(blob: bytes) -> bool:
+    """Whether each vocabulary entry is what merging its own bytes gives. Then looking pre-tokens up in the vocabulary
+    before merging, as the fast coder does, changes nothing."""
+    bpe = TrieBpe(blob)
+    return all(bpe.merged(entry) == [entry] for entry in bpe.id_of)
+
+
+def byte_level_encoder(blob: bytes, proven: bool) -> Callable[[str], np.ndarray]:
+    """ids of a text under a byte-level BPE file of tokenizers, special strings in the text included. Without a proof
+    (see `merges_to_itself`), and where the fast coder refuses a text, the named library encodes."""
     import tiktoken
     import tokenizers
 
@@ -51,6 +60,8 @@ def byte_level_encoder(blob: bytes) -> Callable[[str], np.ndarray]:
     named = functools.lru_cache(1)(lambda: tokenizers.Tokenizer.from_buffer(blob))
 
     def encode(text: str) -> np.ndarray:
+        if not proven:
+            return np.array(named().encode(text, add_special_tokens=False).ids, np.uint32)
         try:
             return lib.encode_to_numpy(text, allowed_special="all")
         except ValueError:  # its pattern can't take runs of about a million blanks; tokenizers has no such bound
@@ -63,11 +74,12 @@ def pieces(docs: DataFrame, vocab_path: str, limit: int = LIMIT, end_id: int = E
     """id, piece, start, length, ids_crc32 and, if asked for, ids (binary: little-endian 32-bit) of every piece."""
     with open(vocab_path, "rb") as f:
         blob = docs.sparkSession.sparkContext.broadcast(f.read())
+    proven = merges_to_itself(blob.value)
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     out = pa.schema([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.binary())] * keep_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = model(("bpe", len(blob.value), hash(blob.value)), lambda: byte_level_encoder(blob.value))
+        encode = model(("bpe", len(blob.value), hash(blob.value)), lambda: byte_level_encoder(blob.value, proven))
         for batch in slices(batches, "_text"):
             owner: list[int] = []
             found: list[tuple[Any, ...]] = []

@@ -6,11 +6,13 @@ proven stable: no token of the vocabulary can span it, whatever stands around it
 chunk and right of it in the other are those of the whole text. If an overlap has no such place, it is widened
 (doubled) and encoded again, up to the end of the text.
 
-Null and empty texts have no tokens. Rows are independent; repeats and extra columns do not matter.
+Null and empty texts have no tokens. Texts of any length are counted whole. Rows are independent: repeats are counted
+one by one, an empty table gives an empty one, and extra columns are dropped.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -24,6 +26,10 @@ from .arrow import batch_of, model, slices
 CHUNK, OVERLAP = 16_384, 512
 
 
+#: Categories of characters that normalisation neither drops nor joins with others: letters and numbers.
+_STEADY = ("Lu", "Ll", "Lo", "Nd")
+
+
 class Encoder(Protocol):
     def count(self, texts: list[str]) -> list[int]: ...
     def starts(self, text: str, first: bool) -> np.ndarray:
@@ -33,14 +39,19 @@ class Encoder(Protocol):
 
 
 class PieceEncoder:
-    """sentencepiece. A space after another character is stable if no piece holds a space behind another character."""
+    """sentencepiece. A place between two characters is stable if no piece holds the two side by side: merges then never
+    cross it, and what happens on one side of it doesn't depend on the other. That is so of most spaces, of most pairs of
+    Chinese characters, and of some pairs of letters. Characters that the model's normalisation may change, alone or
+    together, and runs of spaces are left out."""
 
     def __init__(self, blob: bytes) -> None:
         import sentencepiece
 
         self.lib = sentencepiece.SentencePieceProcessor(model_proto=blob)
-        pieces = (self.lib.id_to_piece(i) for i in range(self.lib.get_piece_size()))
-        self.proven = not any("▁" in p.lstrip("▁") for p in pieces) and len(self.lib.encode("a")) == len(self.lib.encode(" a")) - 1
+        pieces = [self.lib.id_to_piece(i) for i in range(self.lib.get_piece_size())]
+        self.beside = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
+        # unknown characters must fall back to bytes, or neighbouring ones become one token; spaces must be kept
+        self.proven = "<0x00>" in pieces and len(self.lib.encode("a")) == len(self.lib.encode(" a")) - 1
 
     def count(self, texts: list[str]) -> list[int]:
         return [len(x) for x in self.lib.encode(texts, return_type="numpy", num_threads=1)]
@@ -48,6 +59,7 @@ class PieceEncoder:
     def starts(self, text: str, first: bool) -> np.ndarray:
         # The library puts a space before every text. Inside a document it stands for the space that the chunk starts
         # with; a chunk that starts within a word has a wrong beginning, which lies before any splice.
+        # A chunk that starts at a stable place within a word is given the character before it.
         lead = 0 if first else int(text[:1] == " ")
         begins = np.array([p.begin for p in self.lib.encode(text[lead:], return_type="proto").pieces], np.int64)
         data = np.frombuffer(text[lead:].encode(), np.uint8)
@@ -58,7 +70,14 @@ class PieceEncoder:
         return found
 
     def stable(self, text: str, at: int) -> bool:
-        return self.proven and 0 < at < len(text) - 1 and text[at] == " " and text[at - 1] not in " ▁" and text[at + 1] not in " ▁"
+        if not (self.proven and 0 < at < len(text) - 1):
+            return False
+        pair = text[at - 1 : at + 1]
+        if pair[0] in " ▁" or (pair[1] in " ▁" and text[at + 1] in " ▁"):
+            return False
+        if pair.replace(" ", "▁") in self.beside:
+            return False
+        return pair.isascii() and pair.isprintable() or all(unicodedata.category(c) in _STEADY or c == " " for c in pair) and unicodedata.normalize("NFKC", pair) == pair
 
 
 class ByteLevelEncoder:
@@ -90,16 +109,23 @@ ENCODERS: dict[str, Callable[[bytes], Encoder]] = {"model": PieceEncoder, "json"
 def count_huge(text: str, encoder: Encoder, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
     """The number of tokens of `text`, from overlapping chunks."""
     total, start, n = 0, 0, len(text)
+
+    def starts(lo: int, hi: int) -> np.ndarray:
+        """Where tokens of text[lo:hi] start. `lo` is 0 or stable: what the character before it does stays there."""
+        back = int(lo > 0 and text[lo] != " ")
+        found = encoder.starts(text[lo - back : hi], lo == 0) + lo - back
+        return found[found >= lo]
+
     while True:
         end = start + chunk
         if end >= n:
-            return total + len(encoder.starts(text[start:], start == 0))
-        left = encoder.starts(text[start : min(n, end + overlap)], start == 0) + start
+            return total + len(starts(start, n))
+        left = starts(start, min(n, end + overlap))
         width = overlap
         while True:
             stop = min(n, end + width)
             if stop > end + overlap:
-                left = encoder.starts(text[start:stop], start == 0) + start
+                left = starts(start, stop)
             right = set((encoder.starts(text[end:stop], False) + end).tolist()) if end < stop else set()
             cut = next((p for p in left[(left > end) & (left < stop - 1)].tolist() if p in right and encoder.stable(text[p - 1 : p + 2], 1)), None)
             if cut is not None:

@@ -29,7 +29,7 @@ def library():  # noqa: ANN201
 
 LIB = library()
 TRIE = bpe_trie.TrieBpe(open(BYTES, "rb").read())
-FAST = packing.byte_level_encoder(open(BYTES, "rb").read())
+FAST = packing.byte_level_encoder(open(BYTES, "rb").read(), packing.merges_to_itself(open(BYTES, "rb").read()))
 ENCODERS = {name: token_counts.ENCODERS[name.rpartition(".")[2]](open(name, "rb").read()) for name in (PIECES, BYTES)}
 ids_of = lambda text: LIB.encode(text, add_special_tokens=False).ids
 
@@ -50,6 +50,11 @@ def test_tokens_follow_by_merging_and_special_strings() -> None:
     assert all(TRIE.merged(t) == [t] for t in random.Random(1).sample(sorted(TRIE.id_of), 3000))
 
 
+def test_without_a_proof_the_library_encodes() -> None:
+    slow = packing.byte_level_encoder(open(BYTES, "rb").read(), False)
+    assert packing.merges_to_itself(open(BYTES, "rb").read()) and slow("a b<|endoftext|>").tolist() == FAST("a b<|endoftext|>").tolist()
+
+
 @pytest.mark.parametrize("blank", [" ", "\n", "\t", "\u00a0", " \n"])
 def test_packing_takes_very_long_blank_runs(blank: str) -> None:
     text = "a<|endoftext|>" + blank * (1_000_500 // len(blank)) + "b"
@@ -72,6 +77,34 @@ def test_huge_counts(parts: list[str], chunk: int, overlap: int) -> None:
         assert token_counts.count_huge(text, encoder, chunk, overlap) == encoder.count([text])[0]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.sampled_from(list("的一是不了人我在有他这中大来上国ab1Zq. ▁\u0301カﾞﬁ①กำé\n😀")), min_size=10, max_size=200), st.integers(4, 40), st.integers(1, 6))
+def test_huge_counts_without_spaces(text: str, chunk: int, overlap: int) -> None:
+    for encoder in ENCODERS.values():
+        assert token_counts.count_huge(text, encoder, chunk, overlap) == encoder.count([text])[0]
+
+
+def test_texts_without_spaces_are_spliced() -> None:
+    """Chinese and base64 texts aren't widened to their ends."""
+    rng, encoder = random.Random(4), ENCODERS[PIECES]
+    longest = 0
+
+    class Watched:
+        def __getattr__(self, name: str):  # noqa: ANN204
+            return getattr(encoder, name)
+
+        def starts(self, text: str, first: bool) -> np.ndarray:
+            nonlocal longest
+            longest = max(longest, len(text))
+            return encoder.starts(text, first)
+
+    letters = [chr(c) for c in range(0x4E00, 0x5E00)]
+    for alphabet in (letters, list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")):
+        text = "".join(rng.choice(alphabet) for _ in range(60_000))
+        assert token_counts.count_huge(text, Watched(), 4096, 256) == encoder.count([text])[0]
+    assert longest < 10_000
+
+
 @pytest.mark.parametrize("path", [PIECES, BYTES])
 @pytest.mark.parametrize("chunk", [16_384, 64])
 def test_counts(spark: SparkSession, path: str, chunk: int) -> None:
