@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), docs being what the stage before it kept, and returns a DataFrame. All but the
 last return the columns of `documents`; n_chars follows the text.
+
+Null and empty texts have too few words and go with the first stage. Rows with a null doc_id are documents of their
+own; rows with one doc_id are one document to line dedup, and near-duplicates keep one row of equal ones. Of a group of
+near-duplicates the smallest doc_id stays, a null one counting as the smallest. Texts of any length pass whole. An
+empty table gives no rows. Extra columns pass all stages but the last.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinetable.llm import line_dedup, packing, pii, quality, simhash
-from cinetable.llm.common import staged
+from cinetable.llm.common import discard, settled
 from cinetable.llm.queries import documents, tokenizer_file
 
 
@@ -50,6 +55,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
+    done: DataFrame | None = None
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if done is not None:
+            discard(before)
+        done = docs
     return STAGES[-1][1](spark, docs, sf_dir)
