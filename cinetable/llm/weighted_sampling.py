@@ -35,8 +35,9 @@ SAMPLES = 128
 CACHED_TERMS = 250_000
 #: Bytes of text that are hashed and counted at once; a single longer text is taken by itself.
 GROUP_BYTES = 1 << 18
-#: Bytes of text of a range that is read in order, if there are many; ranges for each core at least.
-RANGE_BYTES, RANGES_A_CORE = 128 << 20, 2
+#: Bytes of text of a range that is read in order; ranges for each core at least; ranges at most (above 3 TB they get longer: a
+#: job can't have many more tasks, and a range is read as a stream).
+RANGE_BYTES, RANGES_A_CORE, MOST_RANGES = 16 << 20, 1, 200_000
 _WEIGHT, _LENGTH = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 
 
@@ -287,7 +288,7 @@ def _rank(key: Column, bounds: list[int]) -> Column:
 def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(_range, _guest, _id, _text): each range's rows and, as guests, the first of the following range.
 
-    Ranges are cut at quantiles of the id so that each holds about RANGE_BYTES of text, however large the table is;
+    Ranges are cut at quantiles of the id so that each holds about RANGE_BYTES of text;
     the last one has the first row of all as its guest. Rows of one id stay in one range, however many they are, ordered
     by the hash of their text. A partition holds one range, sorted, and is read as a stream. The text is shuffled once. The driver sees two
     numbers a range.
@@ -295,7 +296,7 @@ def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     least = -(1 << 63)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(least)).alias("_key"), F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    n = max(RANGES_A_CORE * docs.sparkSession.sparkContext.defaultParallelism, spread(size, RANGE_BYTES))
+    n = max(RANGES_A_CORE * docs.sparkSession.sparkContext.defaultParallelism, min(MOST_RANGES, spread(size, RANGE_BYTES)))
     bounds = rows.agg(F.percentile_approx("_key", [i / n for i in range(1, n)], max(10_000, 4 * n))).first()[0]
     rows = rows.withColumn("_range", _rank(F.col("_key"), sorted(set(bounds or []))))
     firsts = dict(rows.groupBy("_range").agg(F.min("_key")).collect())
