@@ -35,9 +35,12 @@ def _hadamard_line(a: Column, b: Column, c: Column, d: Column) -> list[Column]:
     return [a + b + c + d, a + b - c - d, a - b - c + d, a - b + c - d]
 
 
-def _both(block: Column, line, last=lambda v: v) -> Column:  # noqa: ANN001
-    """A line transform of rows, then of columns; each half is one array, so nothing is written out twice."""
-    first = F.array(*[v for row in _lines(block, True) for v in line(*row)])
+def _both(block: Column, line, last=lambda v: v, rows_first: bool = True) -> Column:  # noqa: ANN001
+    """A line transform of rows, then of columns, or the other way round; each half is one array, so nothing is written
+    out twice."""
+    first = F.array(*[v for row in _lines(block, rows_first) for v in line(*row)])
+    if not rows_first:  # what came out is a list of columns
+        return F.get(F.transform(F.array(first), lambda m: F.array(*[last(v) for row in _lines(m, False) for v in line(*row)])), 0)
     second = F.transform(F.array(first), lambda m: _transposed([v for col in _lines(m, False) for v in line(*col)], last))
     return F.get(second, 0)
 
@@ -56,6 +59,27 @@ def hadamard(block: Column) -> Column:
     return _both(block, _hadamard_line)
 
 
+def vp8_inverse_transform(block: Column) -> Column:
+    """Residual of 16 VP8 coefficients: columns, then rows, rounded by eighths. 35468 and 20091 stand for sqrt(2) times
+    sine and cosine of pi/8, the latter less one, in 65536ths."""
+
+    def line(a: Column, b: Column, c: Column, d: Column) -> list[Column]:
+        sine, cosine = lambda v: F.shiftright(v * 35468, 16), lambda v: v + F.shiftright(v * 20091, 16)
+        low, high = sine(b) - cosine(d), cosine(b) + sine(d)
+        return [a + c + high, a - c + low, a - c - low, a + c - high]
+
+    return _both(block, line, lambda v: F.shiftright(v + 4, 3), rows_first=False)
+
+
+def vp8_inverse_walsh(block: Column) -> Column:
+    """The DC values of a macroblock's 16 blocks."""
+
+    def line(a: Column, b: Column, c: Column, d: Column) -> list[Column]:
+        return [a + d + b + c, b - c + a - d, a + d - b - c, a - d - b + c]
+
+    return _both(block, line, lambda v: F.shiftright(v + 3, 3), rows_first=False)
+
+
 def six_tap(line: list[Column]) -> Column:
     """Half-sample value between the third and fourth of six neighbours."""
     a, b, c, d, e, f = line

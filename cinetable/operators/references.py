@@ -93,3 +93,11 @@ def vp8_buffers(frames: DataFrame, clip: str = "clip_id", seq: str = "seq") -> D
 
     done = frames.groupBy(clip, "gop_id").agg(F.aggregate(rows, start, step, lambda acc: acc["out"]).alias("_o"))
     return done.select(clip, "gop_id", F.explode("_o").alias("_o")).select(clip, "gop_id", "_o.*").withColumnRenamed("seq", seq)
+
+
+def slot_pool(frames: DataFrame, slots: int = 8, clip: str = "clip_id", seq: str = "seq", flags: str = "refresh_flags") -> DataFrame:
+    """Adds slot_0 and so on: the frame that each slot holds after each frame. Bit k of `flags` writes the frame to
+    slot k; a slot that nothing has written yet is null."""
+    so_far = Window.partitionBy(clip).orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    written = lambda k: F.when(F.shiftright(F.col(flags).cast("int"), k).bitwiseAND(F.lit(1)) == 1, F.col(seq))
+    return frames.withColumns({f"slot_{k}": F.last(written(k), ignorenulls=True).over(so_far) for k in range(slots)})
