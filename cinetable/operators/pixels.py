@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,33 +53,50 @@ def denoised(luma: DataFrame, block: int = BLOCK, per_pixel: int = ALIKE_PER_PIX
     return kept.groupBy("y", "x").agg(F.sum("v").alias("s"), F.count("*").alias("c")).select("y", "x", F.col("c").alias("frames"), tdiv(F.col("s") + tdiv(F.col("c"), 2), F.col("c")).alias("v"))
 
 
-def _apply_rows(blocks: DataFrame, matrix: Sequence[Sequence[int]], axis: str, shift: int) -> DataFrame:
-    """Multiplies the blocks (keys.., i, j, v) by a small matrix along i or j; keys are all other columns."""
+def _transformed(blocks: DataFrame, n: int, matrix: Sequence[Sequence[int]], shift: int) -> DataFrame:
+    """Keys and t: the n x n values of each block (keys.., i, j, v), multiplied by a small matrix along i, then j, each
+    rounded by `shift` bits, in raster order. Keys are all other columns. One shuffle makes the blocks; a batch of them
+    is one product. Places without a row count as zero."""
     keys = [c for c in blocks.columns if c not in ("i", "j", "v")]
-    spark = blocks.sparkSession
-    table = spark.createDataFrame([(k, i, m) for k, row in enumerate(matrix) for i, m in enumerate(row)], "k int, _a int, m long")
-    rest = "j" if axis == "i" else "i"
-    out = blocks.join(F.broadcast(table), F.col(axis) == F.col("_a")).groupBy(*keys, "k", rest).agg(F.sum(F.col("v") * F.col("m")).alias("v"))
-    value = F.shiftright(F.col("v") + (1 << (shift - 1)), shift) if shift else F.col("v")
-    return out.select(*keys, F.col("k").cast("long").alias(axis), rest, value.alias("v"))
+    place = F.struct((F.col("i") * n + F.col("j")).cast("int").alias("at"), F.col("v").cast("long").alias("v"))
+    packed = blocks.groupBy(*keys).agg(F.collect_list(place).alias("_b"))
+    kinds = {f.name: f.dataType.simpleString() for f in packed.schema.fields}
+    m, half = np.array(matrix, np.int64), (1 << (shift - 1)) if shift else 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("_b")
+            values = lists.flatten()
+            row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            dense = np.zeros((len(lists), n * n), np.int64)
+            dense[row, values.field("at").to_numpy(zero_copy_only=False)] = values.field("v").to_numpy(zero_copy_only=False)
+            columns = (m @ dense.reshape(-1, n, n) + half) >> shift
+            both = (columns @ m.T + half) >> shift
+            out = pa.ListArray.from_arrays(pa.array(np.arange(0, both.size + 1, n * n, dtype=np.int32)), pa.array(both.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), out], names=[*keys, "t"])
+
+    return packed.mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", t array<bigint>")
+
+
+def _exploded(done: DataFrame, n: int) -> DataFrame:
+    keys = [c for c in done.columns if c != "t"]
+    rows = done.select(*keys, F.posexplode("t").alias("_at", "v"))
+    return rows.select(*keys, tdiv(F.col("_at").cast("long"), n).alias("i"), (F.col("_at") % n).cast("long").alias("j"), "v")
 
 
 def forward_dct(blocks: DataFrame, n: int = 8) -> DataFrame:
     """Integer cosine transform of n x n blocks: columns, then rows, each rounded."""
-    m = dct_matrix(n)
-    return _apply_rows(_apply_rows(blocks, m, "i", 13), m, "j", 13)
+    return _exploded(_transformed(blocks, n, dct_matrix(n), 13), n)
 
 
 def inverse_dct(blocks: DataFrame, n: int = 8) -> DataFrame:
-    m = [list(row) for row in zip(*dct_matrix(n), strict=True)]
-    return _apply_rows(_apply_rows(blocks, m, "i", 13), m, "j", 13)
+    return _exploded(_transformed(blocks, n, [list(row) for row in zip(*dct_matrix(n), strict=True)], 13), n)
 
 
 def satd(blocks: DataFrame, n: int = 4) -> DataFrame:
     """Sum of absolute Hadamard coefficients of each block."""
-    keys = [c for c in blocks.columns if c not in ("i", "j", "v")]
-    m = hadamard(n)
-    return _apply_rows(_apply_rows(blocks, m, "i", 0), m, "j", 0).groupBy(*keys).agg(F.sum(F.abs("v")).alias("satd"))
+    done = _transformed(blocks, n, hadamard(n), 0)
+    return done.select(*[c for c in done.columns if c != "t"], F.aggregate("t", F.lit(0).cast("long"), lambda total, v: total + F.abs(v)).alias("satd"))
 
 
 def blocks_of(luma: DataFrame, size: int) -> DataFrame:

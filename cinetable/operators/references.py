@@ -1,7 +1,6 @@
 """Reference pictures as data: lists, marking, promotion.
 
-Marking is a fold over a group's pictures in decode order; its state is the few pictures that are kept, so the fold
-runs inside one array per group of pictures and needs no row-at-a-time Python.
+Marking is a fold over a group's pictures in decode order; its state is the few pictures that are kept.
 """
 
 from __future__ import annotations
@@ -9,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import fold
+
 
 def initial_lists(candidates: DataFrame, keys: list[str]) -> DataFrame:
     """Places of reference candidates in the initial lists of a picture.
@@ -50,18 +51,60 @@ def sliding_window(pictures: DataFrame, most: int, clip: str = "clip_id", gop: s
 
     A reference picture first removes what `drops` names (an array of seq), then enters; beyond `most` the oldest leaves.
     """
-    named = F.coalesce(F.col(drops), F.array().cast("array<bigint>")) if drops else F.array().cast("array<bigint>")
-    rows = F.array_sort(F.collect_list(F.struct(F.col(seq).cast("long").alias("s"), F.col(is_ref).alias("r"), named.alias("d"))))
-    start = F.struct(F.array().cast("array<bigint>").alias("k"), F.array().cast("array<struct<seq:bigint,kept:array<bigint>>>").alias("out"))
+    if drops is None:
+        pictures, drops = pictures.withColumn("_drops", F.array().cast("array<bigint>")), "_drops"
+
+    def step(kept: list[int], picture: int, refers: bool, gone: list[int] | None) -> tuple[list[int], tuple]:
+        if refers:
+            kept = [*(k for k in kept if k not in (gone or ())), picture][-most:]
+        return kept, (kept,)
+
+    rows = pictures.withColumn("_picture", F.col(seq).cast("long"))
+    return fold(rows, [clip, gop], seq, ["_picture", is_ref, drops], list, step, "kept array<bigint>")
 
-    def step(acc: Column, x: Column) -> Column:
-        left = F.array_except(acc["k"], x["d"])
-        entered = F.concat(left, F.array(x["s"]))
-        after = F.when(x["r"], F.slice(entered, F.greatest(F.lit(1), F.size(entered) - most + 1), F.lit(most))).otherwise(acc["k"])
-        return F.struct(after.alias("k"), F.concat(acc["out"], F.array(F.struct(x["s"].alias("seq"), after.alias("kept")))).alias("out"))
 
-    done = pictures.groupBy(clip, gop).agg(F.aggregate(rows, start, step, lambda acc: acc["out"]).alias("_o"))
-    return done.select(clip, gop, F.explode("_o").alias("_o")).select(clip, gop, F.col("_o.seq").alias(seq), F.col("_o.kept").alias("kept"))
+def adaptive_marking(pictures: DataFrame, most: int, clip: str = "clip_id", gop: str = "gop_id", seq: str = "seq", is_ref: str = "is_ref", frame_num: str = "frame_num", ops: str = "ops", bits: int = 16) -> DataFrame:
+    """Adds short and long after each picture: the seq of short-term references, oldest first, and those of long-term
+    ones by their index, null where one is free.
+
+    `ops`: an array of (op, arg, index) by the standard's numbers, or null for the sliding window: 1 drops the
+    short-term picture whose number is `arg` + 1 less than the current one; 2 drops the long-term one at `arg`; 3 makes
+    the short-term picture `arg` + 1 less long-term at `index`; 4 allows `arg` long-term indices; 5 drops all; 6 makes
+    the current picture long-term at `index`. Numbers wrap at 2 to the `bits`.
+    """
+    wrap = 1 << bits
+
+    def step(state: tuple[list, dict], picture: int, number: int, refers: bool, todo: list | None) -> tuple[tuple[list, dict], tuple]:
+        short, long = list(state[0]), dict(state[1])
+        if refers:
+            own: int | None = None
+            for op in todo or ():
+                wanted = (number - (op["arg"] or 0) - 1) % wrap
+                if op["op"] == 1:
+                    short = [s for s in short if s[1] != wanted]
+                elif op["op"] == 2:
+                    long.pop(op["arg"], None)
+                elif op["op"] == 3:
+                    for s in [s for s in short if s[1] == wanted]:
+                        short.remove(s)
+                        long[op["index"]] = s[0]
+                elif op["op"] == 4:
+                    long = {k: v for k, v in long.items() if k < op["arg"]}
+                elif op["op"] == 5:
+                    short, long = [], {}
+                elif op["op"] == 6:
+                    own = op["index"]
+            if own is not None:
+                long[own] = picture
+            else:
+                if not todo and len(short) + len(long) >= most and short:
+                    short.pop(0)
+                short.append((picture, number))
+        spread = [long.get(k) for k in range(max(long) + 1)] if long else []
+        return (short, long), ([s for s, _ in short], spread)
+
+    rows = pictures.withColumn("_picture", F.col(seq).cast("long"))
+    return fold(rows, [clip, gop], seq, ["_picture", frame_num, is_ref, ops], lambda: ([], {}), step, "short array<bigint>, long array<bigint>")
 
 
 def buffers(frames: DataFrame, clip: str = "clip_id", seq: str = "seq", key: str = "is_key", raw: str = "is_raw") -> DataFrame:
@@ -79,20 +122,22 @@ def vp8_buffers(frames: DataFrame, clip: str = "clip_id", seq: str = "seq") -> D
     A copy code (0 none, 1 from last, 2 from the other) reads the buffers as they were; alternate first, and golden
     then sees it; 3 stands for a refresh from the frame itself. A fold over a group of pictures.
     """
-    rows = F.array_sort(F.collect_list(F.struct(F.col(seq).cast("long").alias("s"), "is_key", "refresh_last", "copy_golden", "copy_altref")))
-    nothing = F.lit(None).cast("long")
-    start = F.struct(nothing.alias("l"), nothing.alias("g"), nothing.alias("a"), F.array().cast("array<struct<seq:bigint,last:bigint,golden:bigint,altref:bigint>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        a = F.when(x["is_key"], x["s"]).when(x["copy_altref"] == 1, acc["l"]).when(x["copy_altref"] == 2, acc["g"]).otherwise(acc["a"])
-        g = F.when(x["is_key"], x["s"]).when(x["copy_golden"] == 1, acc["l"]).when(x["copy_golden"] == 2, a).otherwise(acc["g"])
-        a = F.when(x["copy_altref"] == 3, x["s"]).otherwise(a)
-        g = F.when(x["copy_golden"] == 3, x["s"]).otherwise(g)
-        last = F.when(x["is_key"] | x["refresh_last"], x["s"]).otherwise(acc["l"])
-        return F.struct(last.alias("l"), g.alias("g"), a.alias("a"), F.concat(acc["out"], F.array(F.struct(x["s"].alias("seq"), last.alias("last"), g.alias("golden"), a.alias("altref")))).alias("out"))
-
-    done = frames.groupBy(clip, "gop_id").agg(F.aggregate(rows, start, step, lambda acc: acc["out"]).alias("_o"))
-    return done.select(clip, "gop_id", F.explode("_o").alias("_o")).select(clip, "gop_id", "_o.*").withColumnRenamed("seq", seq)
+    def step(state: tuple, frame: int, key: bool, refresh: bool, to_golden: int, to_alt: int) -> tuple[tuple, tuple]:
+        last, golden, alt = state
+        if key:
+            state = (frame, frame, frame)
+        else:
+            alt = (alt, last, golden, frame)[to_alt]
+            # a copy to golden sees the alternate as just copied, but not as refreshed
+            seen = state[2] if to_alt == 3 else alt
+            golden = (golden, last, seen, frame)[to_golden]
+            state = (frame if refresh else last, golden, alt)
+        return state, state
+
+    rows = frames.withColumn("_frame", F.col(seq).cast("long"))
+    codes = [F.coalesce(F.col(c), F.lit(0)).cast("int").alias(c) for c in ("copy_golden", "copy_altref")]
+    rows = rows.select(clip, "gop_id", seq, "_frame", "is_key", "refresh_last", *codes)
+    return fold(rows, [clip, "gop_id"], seq, ["_frame", "is_key", "refresh_last", "copy_golden", "copy_altref"], lambda: (None, None, None), step, "last long, golden long, altref long")
 
 
 def slot_pool(frames: DataFrame, slots: int = 8, clip: str = "clip_id", seq: str = "seq", flags: str = "refresh_flags") -> DataFrame:

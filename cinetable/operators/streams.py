@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import fold
+
 
 def _so_far(clip: str, *order: str | Column) -> Window:
     return Window.partitionBy(clip).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -70,23 +72,19 @@ def reorder_delay(ordered: DataFrame, clip: str = "clip_id", seq: str = "seq") -
 def unwrapped_counts(slices: DataFrame, bits: int, clip: str = "clip_id", gop: str = "gop_id", seq: str = "seq", lsb: str = "lsb", is_ref: str = "is_ref") -> DataFrame:
     """Adds poc: the full picture order count from its low bits (type 0), within each group of pictures.
 
-    A fold over the rows of one group, which a reset (IDR) starts; groups are short by nature.
+    A fold over the rows of one group, which a reset (IDR) starts.
     """
     full, half = 1 << bits, 1 << (bits - 1)
-    rows = F.array_sort(F.collect_list(F.struct(F.col(seq).cast("long").alias("s"), F.col(lsb).cast("long").alias("l"), F.col(is_ref).alias("r"))))
-    start = F.struct(F.lit(0).cast("long").alias("m"), F.lit(0).cast("long").alias("p"), F.array().cast("array<struct<seq:bigint,poc:bigint>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        jump = F.when((x["l"] < acc["p"]) & (acc["p"] - x["l"] >= half), full).when((x["l"] > acc["p"]) & (x["l"] - acc["p"] > half), -full).otherwise(0)
-        msb = acc["m"] + jump
-        return F.struct(
-            F.when(x["r"], msb).otherwise(acc["m"]).alias("m"),
-            F.when(x["r"], x["l"]).otherwise(acc["p"]).alias("p"),
-            F.concat(acc["out"], F.array(F.struct(x["s"].alias("seq"), (msb + x["l"]).alias("poc")))).alias("out"),
-        )
-
-    done = slices.groupBy(clip, gop).agg(F.aggregate(rows, start, step, lambda acc: acc["out"]).alias("_o"))
-    return done.select(clip, gop, F.explode("_o").alias("_o")).select(clip, gop, F.col("_o.seq").alias(seq), F.col("_o.poc").alias("poc"))
+
+    def step(state: tuple[int, int], low: int, kept: bool) -> tuple[tuple[int, int], tuple]:
+        high, before = state
+        if low < before and before - low >= half:
+            high += full
+        elif low > before and low - before > half:
+            high -= full
+        return ((high, low) if kept else state), (high + low,)
+
+    return fold(slices, [clip, gop], seq, [lsb, is_ref], lambda: (0, 0), step, "poc long")
 
 
 def frame_number_counts(slices: DataFrame, bits: int, clip: str = "clip_id", gop: str = "gop_id", seq: str = "seq", frame_num: str = "frame_num", is_ref: str = "is_ref") -> DataFrame:

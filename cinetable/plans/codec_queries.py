@@ -48,6 +48,14 @@ def dpb_sliding_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.sliding_window(rows, 3).select("clip_id", "seq", F.array_join("kept", ",").alias("kept"))
 
 
+@query("adaptive_marking", "U1")
+def adaptive_marking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marking commands of all six kinds among pictures that slide."""
+    op = "named_struct('op', cast(event_id % 7 AS int), 'arg', cast(event_id div 7 % 3 AS int), 'index', cast(event_id div 21 % 3 AS int))"
+    rows = grouped(spark, sf_dir).selectExpr("clip_id", "gop_id", "seq", "event_type <> 'error' AS is_ref", "cast(seq % 16 AS int) AS frame_num", f"CASE WHEN event_id % 5 = 0 AND event_id % 7 > 0 THEN array({op}) END AS ops")
+    return references.adaptive_marking(rows, 4, bits=4).select("clip_id", "gop_id", "seq", F.array_join("short", ",").alias("short"), F.array_join("long", ",", "-").alias("long"))
+
+
 @query("reference_lookup", "J2", _KEPT + " SELECT clip_id, seq, refs[greatest(1, len(refs) - 2):][CAST(event_id % 3 + 1 AS INT)] AS ref FROM k")
 def reference_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The picture that an index names among those kept; null where there is none."""

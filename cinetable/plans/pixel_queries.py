@@ -136,7 +136,7 @@ def intra_mode_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _named(sums.select("n", "by", "bx", best.alias("b")).select("n", "by", "bx", "b.mode", "b.sad"))
 
 
-@query("motion_search", "O5 F20", f"""WITH {PAN}, o AS (SELECT dy, dx FROM range(-3, 4) a(dy), range(-3, 4) b(dx)),
+@query("motion_search", "F20", f"""WITH {PAN}, o AS (SELECT dy, dx FROM range(-3, 4) a(dy), range(-3, 4) b(dx)),
 d AS (SELECT c.n, c.y // 8 AS bk, c.x // 8 AS bx, dy, dx, abs(c.v - r.v) AS d FROM px c CROSS JOIN o JOIN px r ON r.n = c.n - 1 AND r.y = c.y + dy AND r.x = c.x + dx),
 s AS (SELECT n, bk, bx, dy, dx, CAST(sum(d) AS BIGINT) AS sad FROM d GROUP BY ALL HAVING count(*) = 64)
 SELECT n, bk AS block_y, bx AS block_x, dy, dx, sad FROM (SELECT *, row_number() OVER (PARTITION BY n, bk, bx ORDER BY sad, abs(dy) + abs(dx), dy, dx) AS r FROM s) WHERE r = 1""")

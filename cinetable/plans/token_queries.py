@@ -19,7 +19,7 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "lang", "source", F.explode(F.split("text", " ", -1)).alias("w")).select("doc_id", "lang", "source", F.least(F.length("w"), F.lit(15)).cast("long").alias("sym"))
 
 
-@query("token_histogram", "A5 F11", f"WITH {_TOK} SELECT * FROM h")
+@query("token_histogram", "A5", f"WITH {_TOK} SELECT * FROM h")
 def token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.histogram(symbols(spark, sf_dir), ctx="lang")
 

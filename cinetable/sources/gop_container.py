@@ -1,17 +1,23 @@
 """The indexed container of closed groups of pictures: header, self-delimiting records, index and footer.
 
-Two ways in: `parse` on file contents from any store, and the Python data source "gop", which reads the footer on the
-driver, plans one split for each group of pictures and prunes splits by ranges of seq.
+Two ways in: `parse` on file contents from any store, and the Python data source "gop". The driver lists files only
+and plans splits by ranges of bytes; each task reads the index of its file and takes the groups of pictures that start
+within its range and reach into the wanted range of seq. A file without a whole index is walked through by its tasks.
 """
 
 from __future__ import annotations
 
 import glob
+import io
+import itertools
 import os
+import shutil
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from typing import BinaryIO
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import StructType
@@ -66,19 +72,36 @@ class Header:
 Entry = tuple[int, int, bool]
 
 
-def build(header: Header, packets: Sequence[Packet]) -> bytes:
-    out, index = [header.pack()], []
-    at = HEADER
-    for n, p in enumerate(packets):
-        if not p.data or len(p.data) > MOST_BYTES:
-            raise ValueError(f"payload of {len(p.data)} bytes")
-        if n == 0 and not p.is_key:
+class ContainerWriter:
+    """Writes one file record by record; only the index, 16 bytes a record, is held."""
+
+    def __init__(self, out: BinaryIO, header: Header) -> None:
+        self.out, self.at, self.index = out, HEADER, []
+        out.write(header.pack())
+
+    def add(self, data: bytes, is_key: bool) -> None:
+        if not data or len(data) > MOST_BYTES:
+            raise ValueError(f"payload of {len(data)} bytes")
+        if not self.index and not is_key:
             raise ValueError("the first frame is no key frame")
-        out += [struct.pack("<HHI", SYNC, KEY_FLAG * p.is_key, len(p.data)), p.data]
-        index.append(struct.pack("<QII", at, len(p.data), KEY_FLAG * p.is_key))
-        at += RECORD + len(p.data)
-    table = b"".join(index)
-    return b"".join([*out, table, struct.pack("<QII4s", at, len(packets), zlib.crc32(table), FOOTER_MAGIC)])
+        self.out.write(struct.pack("<HHI", SYNC, KEY_FLAG * is_key, len(data)))
+        self.out.write(data)
+        self.index.append(struct.pack("<QII", self.at, len(data), KEY_FLAG * is_key))
+        self.at += RECORD + len(data)
+
+    def finish(self) -> None:
+        table = b"".join(self.index)
+        self.out.write(table)
+        self.out.write(struct.pack("<QII4s", self.at, len(self.index), zlib.crc32(table), FOOTER_MAGIC))
+
+
+def build(header: Header, packets: Sequence[Packet]) -> bytes:
+    out = io.BytesIO()
+    writer = ContainerWriter(out, header)
+    for p in packets:
+        writer.add(p.data, p.is_key)
+    writer.finish()
+    return out.getvalue()
 
 
 def footer_bounds(tail: bytes, size: int) -> tuple[int, int, int]:
@@ -165,17 +188,43 @@ def parse_packet_header(data: bytes) -> dict:
 # -- data source --------------------------------------------------------------------------------------------------
 
 
+#: Bytes of a file that one task reads.
+SPLIT_BYTES = 64 << 20
+
+
+def local_path(path: str) -> str:
+    """The data source opens files itself, so it takes local or mounted paths only; others go through binaryFile."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        return path
+    if scheme != "file":
+        raise ValueError(f"{path}: the source gop opens local and mounted paths only; read others as binaryFile and parse them")
+    return "/" + rest.lstrip("/")
+
+
+def file_index(f: BinaryIO, size: int) -> list[Entry]:
+    """The index of an open file, from its footer if that is whole, else by walking the records' headers."""
+    try:
+        f.seek(max(0, size - FOOTER))
+        offset, count, crc = footer_bounds(f.read(), size)
+        f.seek(offset)
+        return checked_index(f.read(count * ENTRY), crc, offset)
+    except ValueError:
+        f.seek(0)
+        return rebuilt_index(f.read())
+
+
 @dataclass
-class Group(InputPartition):
+class Split(InputPartition):
     path: str
-    first: int
-    entries: list[Entry]
-    header: Header
+    low: int
+    high: int
 
 
 class GopReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
-        self.path, self.low, self.high = options["path"], 0, 1 << 62
+        self.path, self.split = local_path(options["path"]), int(options.get("splitbytes", SPLIT_BYTES))
+        self.low, self.high = 0, 1 << 62
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
         """Ranges of seq choose groups; rows are filtered again by Spark."""
@@ -188,57 +237,81 @@ class GopReader(DataSourceReader):
             yield f
 
     def partitions(self) -> Sequence[InputPartition]:
-        out: list[InputPartition] = []
-        for path in sorted(glob.glob(os.path.join(self.path, "*")) if os.path.isdir(self.path) else glob.glob(self.path)):
-            size = os.path.getsize(path)
-            with open(path, "rb") as f:
-                header = Header.unpack(f.read(HEADER))
-                try:
-                    f.seek(max(0, size - FOOTER))
-                    offset, count, crc = footer_bounds(f.read(), size)
-                    f.seek(offset)
-                    index = checked_index(f.read(count * ENTRY), crc, offset)
-                except ValueError:
-                    f.seek(0)
-                    index = rebuilt_index(f.read())
-            starts = [n for n, e in enumerate(index) if e[2]]
-            for a, b in zip(starts, [*starts[1:], len(index)], strict=True):
-                if b > self.low and a <= self.high:
-                    out.append(Group(path, a, index[a:b], header))
-        return out
+        paths = sorted(glob.glob(os.path.join(glob.escape(self.path), "*")) if os.path.isdir(self.path) else glob.glob(self.path))
+        files = [p for p in paths if not os.path.basename(p).startswith(("_", "."))]
+        return [Split(p, at, at + self.split) for p in files for at in range(0, max(1, os.path.getsize(p)), self.split)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        if not isinstance(partition, Group):
+        if not isinstance(partition, Split):
             return
         with open(partition.path, "rb") as f:
-            for n, (at, size, key) in enumerate(partition.entries, partition.first):
-                f.seek(at + RECORD)
-                h = partition.header
-                yield os.path.basename(partition.path), CODEC, h.width, h.height, 1, n, h.time_of(n), key, f.read(size), None
+            h = Header.unpack(f.read(HEADER))
+            index = file_index(f, os.path.getsize(partition.path))
+            starts = [n for n, entry in enumerate(index) if entry[2]]
+            for a, b in zip(starts, [*starts[1:], len(index)], strict=True):
+                if not partition.low <= index[a][0] < partition.high or b <= self.low or a > self.high:
+                    continue
+                for n in range(a, b):
+                    at, size, key = index[n]
+                    f.seek(at + RECORD)
+                    yield os.path.basename(partition.path), CODEC, h.width, h.height, 1, n, h.time_of(n), key, f.read(size), None
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    files: list[tuple[str, str]]
 
 
 class GopWriter(DataSourceWriter):
-    """One file for each partition that has rows. A file is written aside and renamed, so a retried task leaves one."""
+    """One file for each clip. Rows must come sorted by clip and seq, the rows of a clip in one partition; they are
+    written as they come. Tasks write to a folder aside; files are moved into place when the whole job is done, so a
+    failed job leaves nothing and a retried task leaves one file."""
 
     def __init__(self, options: dict[str, str], overwrite: bool) -> None:
-        self.options = options
+        self.options, self.overwrite = options, overwrite
+        self.path = local_path(options["path"])
+        self.aside = os.path.join(self.path, f"_temporary-{uuid.uuid4().hex}")
 
     def write(self, iterator: Iterator) -> WriterCommitMessage:
         o = self.options
-        rows = sorted(((r["clip_id"], r["seq"], r["is_key"], bytes(r["data"])) for r in iterator), key=lambda r: r[:2])
         header = Header(int(o["width"]), int(o["height"]), int(o.get("num", "30")), int(o.get("den", "1")))
-        os.makedirs(o["path"], exist_ok=True)
-        for clip in dict.fromkeys(r[0] for r in rows):
-            data = build(header, [Packet(s, 0, k, d) for c, s, k, d in rows if c == clip])
-            to = os.path.join(o["path"], f"{clip}")
-            with open(f"{to}.{os.getpid()}.part", "wb") as f:
-                f.write(data)
-            os.replace(f"{to}.{os.getpid()}.part", to)
-        return WriterCommitMessage()
+        mine = os.path.join(self.aside, uuid.uuid4().hex)
+        os.makedirs(mine, exist_ok=True)
+        done: dict[str, str] = {}
+        for clip, rows in itertools.groupby(iterator, key=lambda r: str(r["clip_id"])):
+            if clip in done or not clip or "/" in clip or clip.startswith(("_", ".")):
+                raise ValueError(f"clip {clip!r} comes twice, or is no file name")
+            done[clip] = os.path.join(mine, clip)
+            with open(done[clip], "wb") as f:
+                writer, last = ContainerWriter(f, header), None
+                for r in rows:
+                    if last is not None and r["seq"] < last:
+                        raise ValueError(f"clip {clip!r} isn't sorted by seq")
+                    last = r["seq"]
+                    writer.add(bytes(r["data"]), r["is_key"])
+                writer.finish()
+        return Written([(made, os.path.join(self.path, clip)) for clip, made in done.items()])
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        files = [pair for m in messages if isinstance(m, Written) for pair in m.files]
+        if len({to for _, to in files}) < len(files):
+            self.abort(messages)
+            raise ValueError("a clip lies in several partitions")
+        if self.overwrite:
+            kept = {to for _, to in files}
+            for old in glob.glob(os.path.join(glob.escape(self.path), "*")):
+                if os.path.isfile(old) and old not in kept:
+                    os.remove(old)
+        for made, to in files:
+            os.replace(made, to)
+        shutil.rmtree(self.aside, ignore_errors=True)
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        shutil.rmtree(self.aside, ignore_errors=True)
 
 
 class GopSource(DataSource):
-    """Options: path; for writing also width, height, num, den. Rows of a clip must lie in one partition."""
+    """Options: path, splitBytes; for writing also width, height, num, den. See GopWriter for the order of rows."""
 
     @classmethod
     def name(cls) -> str:

@@ -95,15 +95,37 @@ def test_read_video(spark: SparkSession, tmp_path) -> None:  # noqa: ANN001
     assert {r.clip_id for r in rows} == {"one.GOP", "two.webm"} and len(rows) == 22
 
 
-def test_data_source_plans_groups(spark: SparkSession, tmp_path) -> None:  # noqa: ANN001
+def test_data_source_splits_by_bytes(spark: SparkSession, tmp_path) -> None:  # noqa: ANN001
     (tmp_path / "one.gop").write_bytes(FILE)
     (tmp_path / "two.gop").write_bytes(FILE[:-5])
+    (tmp_path / "_temporary-x").write_bytes(b"not yet")
     spark.dataSource.register(gop_container.GopSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    frame = spark.read.format("gop").load(str(tmp_path))
-    assert frame.rdd.getNumPartitions() == 6 and frame.count() == 22
-    some = frame.where("seq >= 5 AND seq < 8")
-    assert some.rdd.getNumPartitions() == 2 and sorted((r.clip_id, r.seq) for r in some.collect()) == [(c, s) for c in ("one.gop", "two.gop") for s in (5, 6, 7)]
+    for size in (20, 100, 1 << 20):  # every group is read once, by the split that it starts in
+        frame = spark.read.format("gop").option("splitBytes", size).load(str(tmp_path))
+        assert frame.rdd.getNumPartitions() == -(-len(FILE) // size) + -(-(len(FILE) - 5) // size) and frame.count() == 22
+    some = spark.read.format("gop").load(str(tmp_path)).where("seq >= 5 AND seq < 8")
+    assert sorted((r.clip_id, r.seq) for r in some.collect()) == [(c, s) for c in ("one.gop", "two.gop") for s in (5, 6, 7)]
+    with pytest.raises(Exception, match="local and mounted"):
+        spark.read.format("gop").load("hdfs://host/clips").count()
+
+
+def test_data_sink_commits_whole_jobs(spark: SparkSession, tmp_path) -> None:  # noqa: ANN001
+    spark.dataSource.register(gop_container.GopSource)
+    path = tmp_path / "out"
+
+    def rows(clips: str, n: int = 5, break_at: int = -1):  # noqa: ANN202
+        data = [(c, "gop", 8, 8, 1, s, s, s == 0, None if s == break_at else bytes([s + 1]), None) for c in clips for s in range(n)]
+        frame = spark.createDataFrame(data, "clip_id string, codec string, width int, height int, track int, seq long, pts_ns long, is_key boolean, data binary, _error string")
+        return frame.repartition("clip_id").sortWithinPartitions("clip_id", "seq").write.format("gop").options(path=str(path), width=8, height=8)
+
+    rows("abc").mode("append").save()
+    assert sorted(f.name for f in path.iterdir()) == ["a", "b", "c"] and gop_container.index_of((path / "b").read_bytes())[4][1] == 1
+    with pytest.raises(Exception):  # noqa: B017
+        rows("de", break_at=3).mode("append").save()
+    assert sorted(f.name for f in path.iterdir()) == ["a", "b", "c"]
+    rows("cd", 3).mode("overwrite").save()
+    assert sorted(f.name for f in path.iterdir()) == ["c", "d"] and len(gop_container.index_of((path / "c").read_bytes())) == 3
 
 
 def test_units() -> None:

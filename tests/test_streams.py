@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cinetable.functions import integers, samples, timing
 from cinetable.operators import codec, pixels, references, streams
+from cinetable.operators.folds import fold
 from cinetable.plans import codec_queries
 from cinetable.streaming import live, player
 
@@ -95,6 +96,33 @@ def test_window_marking_with_drops(spark: SparkSession) -> None:
     assert [r.kept for r in got.orderBy("seq").collect()] == [[0], [0, 1], [0, 1], [1, 3], [1, 3, 4], [3, 4, 5]]
 
 
+def test_adaptive_marking(spark: SparkSession) -> None:
+    none: list = []
+    rows = [
+        (0, True, none, [0], none), (1, True, none, [0, 1], none), (2, True, none, [0, 1, 2], none),
+        (3, True, none, [1, 2, 3], none),  # the window slides at three
+        (4, False, [(1, 0, None)], [1, 2, 3], none),  # no reference: nothing is marked
+        (5, True, [(1, 1, None)], [1, 2, 5], none),  # drops 5 - 2 = 3
+        (6, True, [(3, 3, 1)], [1, 5, 6], [None, 2]),  # 6 - 4 = 2 becomes long-term 1
+        (7, True, none, [5, 6, 7], [None, 2]),
+        (8, True, [(6, None, 0)], [5, 6, 7], [8, 2]), (9, True, [(2, 1, None)], [5, 6, 7, 9], [8]), (10, True, [(4, 0, None)], [5, 6, 7, 9, 10], none), (11, True, [(5, None, None)], [11], none),
+    ]
+    frame = spark.createDataFrame([(1, 1, n, n % 16, ref, ops or None) for n, ref, ops, _, _ in rows], "clip_id int, gop_id int, seq long, frame_num int, is_ref boolean, ops array<struct<op:int,arg:int,index:int>>")
+    got = {r.seq: (r.short, r.long) for r in references.adaptive_marking(frame, 3, bits=4).collect()}
+    assert got == {n: (short, long) for n, _, _, short, long in rows}
+
+
+def test_folds_carry_state_over_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = spark.range(1000).selectExpr("id % 3 AS k", "id AS n", "1 AS v")
+        got = fold(rows, ["k"], "n", ["v"], lambda: 0, lambda s, v: (s + v, (s + v,)), "total long").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert all(r.total == r.n // 3 + 1 for r in got) and len(got) == 1000
+    assert fold(rows.limit(0), ["k"], "n", ["v"], lambda: 0, lambda s, v: (s, (0,)), "total long").count() == 0
+
+
 def test_vp8_buffers(spark: SparkSession) -> None:
     rows = [(0, 0, 0, True, True, 0, 0), (0, 0, 1, False, True, 0, 0), (0, 0, 2, False, False, 1, 2), (0, 0, 3, False, True, 2, 1), (0, 0, 4, False, False, 3, 3)]
     got = references.vp8_buffers(spark.createDataFrame(rows, "clip_id int, gop_id int, seq long, is_key boolean, refresh_last boolean, copy_golden int, copy_altref int"))
