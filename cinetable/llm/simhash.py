@@ -18,8 +18,9 @@ ids take part, but name no component unless it has no other id. Extra columns ar
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from math import comb
+from collections.abc import Callable, Iterator
+from itertools import pairwise
+from math import ceil, comb, prod
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ from .components import connected_components
 SHINGLE, SEED, MAX_BITS = 3, 42, 3
 #: (segments of the embedding, groups of them that form grids) to choose from.
 GRIDS = [(32, 4), (32, 2), (64, 2)]
+#: The same for distances of more than a few bits, where narrow segments tell more apart.
+WIDE_GRIDS = [(segments, parts) for segments in (32, 64) for parts in (3, 4, 5, 6)]
 #: Rows of a cell that one task compares with each other; a cell with more is cut into chunks of so many.
 CHUNK_ROWS = 600
 #: Microseconds to move a row through the exchange, and to compare a pair.
@@ -45,16 +48,28 @@ _SPLIT = bytes.maketrans(_BLANKS, b" " * len(_BLANKS))
 
 def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """Bit b is set if it is set in over half the XXH64 hashes of the shingles, repeats included."""
-    words = text.encode().translate(_LOWER).translate(_SPLIT).split(b" ")
-    words = [w for w in words if w]
-    if not words:
-        return 0
+    return majority(shingle_hashes(words_of(text), shingle, seed))
+
+
+def words_of(text: str) -> list[bytes]:
+    """The lower-cased words."""
+    return [w for w in text.encode().translate(_LOWER).translate(_SPLIT).split(b" ") if w]
+
+
+def shingle_hashes(words: list[bytes], shingle: int, seed: int = SEED) -> np.ndarray:
+    """The hashes of the shingles, repeats included; fewer words are one shingle, none have none."""
     if len(words) <= shingle:
-        grams = [b" ".join(words)]
+        grams = [b" ".join(words)] if words else []
     else:
         grams = list(map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(g, seed) for g in grams], np.uint64)
+    return np.array([digest(g, seed) for g in grams], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half the hashes."""
+    if not len(hashes):
+        return 0
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65536):
         counts += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -76,17 +91,18 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, id_c
 # -- the grid -----------------------------------------------------------------------------------------------------
 
 
-def plan_grid(n: int, max_bits: int, chunk: int = CHUNK_ROWS) -> tuple[int, int]:
-    """The cheapest of GRIDS for n fingerprints with random bits."""
+def plan_grid(n: int, max_bits: int, chunk: int = CHUNK_ROWS, grids: list[tuple[int, int]] = GRIDS) -> tuple[int, int]:
+    """The cheapest of `grids` for n fingerprints with random bits."""
 
     def cost(segments: int, parts: int) -> float:
-        size, width = 64 // segments, segments // parts
+        size, width = 64 // segments, segments / parts
         alike = (comb(2 * size, size) / 4.0**size) ** width  # the chance of two to share a cell
-        probes = 1 + len(_steps(width, max_bits // parts))
+        inside = [sum(comb(size, x) for x in range(size + 1 - c)) / 2.0**size for c in range(size + 1)]  # the chance that a change by c stays in range
+        probes = 1 + sum(prod(inside[abs(c)] for _, c in step) for step in _steps(ceil(width), max_bits // parts, size))
         rows = n * parts * probes * max(1.0, n * probes * 0.5 ** (size * width) * comb(size, size // 2) ** width / chunk)
         return ROW_COST * rows + PAIR_COST * n * n / 2 * parts * probes * alike
 
-    return min(GRIDS, key=lambda grid: cost(*grid))
+    return min(grids, key=lambda grid: cost(*grid))
 
 
 def embed(fps: np.ndarray, segments: int) -> np.ndarray:
@@ -104,15 +120,15 @@ def _cells(group: np.ndarray, part: int, top: int) -> np.ndarray:
         return (x * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
 
 
-def _steps(width: int, reach: int) -> list[tuple[tuple[int, int], ...]]:
-    """All moves of Manhattan length 1..reach over `width` coordinates, as ((coordinate, change), ...)."""
+def _steps(width: int, reach: int, top: int) -> list[tuple[tuple[int, int], ...]]:
+    """All moves of Manhattan length 1..reach over `width` coordinates, none by more than top, as ((coordinate, change), ...)."""
     out: list[tuple[tuple[int, int], ...]] = []
 
     def grow(at: int, left: int, move: tuple[tuple[int, int], ...]) -> None:
         if move:
             out.append(move)
         for i in range(at, width):
-            for change in [c for c in range(-left, left + 1) if c]:
+            for change in [c for c in range(-min(left, top), min(left, top) + 1) if c]:
                 grow(i + 1, left - abs(change), (*move, (i, change)))
 
     grow(0, reach, ())
@@ -121,8 +137,9 @@ def _steps(width: int, reach: int) -> list[tuple[tuple[int, int], ...]]:
 
 def grid_rows(distinct: DataFrame, max_bits: int, segments: int, parts: int) -> DataFrame:
     """(cell, fp, home): each fingerprint in its home cells and in the cells within max_bits div parts of them."""
-    top, width, reach = 64 // segments, segments // parts, max_bits // parts
-    steps = _steps(width, reach)
+    top, reach = 64 // segments, max_bits // parts
+    bounds = [segments * part // parts for part in range(parts + 1)]
+    steps = {width: _steps(width, reach, top) for width in {b - a for a, b in pairwise(bounds)}}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,9 +147,9 @@ def grid_rows(distinct: DataFrame, max_bits: int, segments: int, parts: int) ->
                 fps = batch.column(0).slice(at, 4096).to_numpy(zero_copy_only=False).view(np.uint64)
                 places = embed(fps, segments)
                 for part in range(parts):
-                    group = places[:, part * width : (part + 1) * width].astype(np.int16)
+                    group = places[:, bounds[part] : bounds[part + 1]].astype(np.int16)
                     found = [(_cells(group, part, top), fps, True)]
-                    for step in steps:
+                    for step in steps[group.shape[1]]:
                         near = group.copy()
                         for i, change in step:
                             near[:, i] += change
@@ -260,12 +277,12 @@ def compare_sorted(batches: Iterator[pa.RecordBatch], max_bits: int, segments: i
         yield links(held)
 
 
-def fingerprint_links(distinct: DataFrame, max_bits: int = MAX_BITS, grid: tuple[int, int] | None = None, chunk: int = CHUNK_ROWS) -> DataFrame:
+def fingerprint_links(distinct: DataFrame, max_bits: int = MAX_BITS, grid: tuple[int, int] | None = None, chunk: int = CHUNK_ROWS, grids: list[tuple[int, int]] = GRIDS) -> DataFrame:
     """Links (a, b as signed longs) whose components are those of all links within `max_bits`.
 
     `distinct`: column fp, without repeats. Cells where nobody is at home or that hold one row are dropped at once.
     """
-    segments, parts = grid or plan_grid(distinct.count(), max_bits, chunk)
+    segments, parts = grid or plan_grid(distinct.count(), max_bits, chunk, grids)
     rows = grid_rows(distinct, max_bits, segments, parts)
     sizes = rows.groupBy("cell").agg(F.sum(F.col("home").cast("long")).alias("homes"), F.count("*").alias("rows")).where("homes > 0 and rows > 1")
     sizes = staged(sizes.select("cell", F.ceil(F.col("rows") / chunk).cast("int").alias("chunks")), "cells")
@@ -288,14 +305,17 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SH
     return found.join(named, "fp").select(id_col, "fp", "component_id")
 
 
-def keep_one_each(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one_each(docs: DataFrame, classes: Callable[[DataFrame, str, str], DataFrame] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near-duplicates, with all its columns: that of the smallest id.
 
-    Of several rows with that id one stays, that of the least text hash; equal ones are one row.
+    `classes` gives id and component_id of every row of a table with the named columns of ids and texts; unless given,
+    `near_duplicates` does. Of several rows with the smallest id one stays, that of the least text hash; equal ones are one row.
     """
     least = -(1 << 63)
     key = [F.coalesce(F.col(id_col).cast("long"), F.lit(least)).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_hash")]
-    found = staged(near_duplicates(docs.select(*key, F.col(text_col).alias("_text")).withColumn("_who", F.struct("_id", "_hash")), max_bits, shingle, seed, "_who", "_text"), "near-duplicates")
+    named = docs.select(*key, F.col(text_col).alias("_text")).select(F.struct("_id", "_hash").alias("_who"), "_text")
+    found = classes(named, "_who", "_text") if classes else near_duplicates(named, id_col="_who", text_col="_text")
+    found = staged(found, "near-duplicates")
     stay = found.where("_who = component_id").groupBy("_who").agg(F.count("*").alias("_copies"))
     stay = staged(stay.select(F.col("_who._id").alias("_id"), F.col("_who._hash").alias("_hash"), "_copies"), "near-duplicates-kept")
     rows = docs.select(*key, F.struct("*").alias("_keep")).join(stay, ["_id", "_hash"])
