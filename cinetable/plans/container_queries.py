@@ -16,7 +16,7 @@ from ..functions import rans, timing
 from ..functions.bool_coder import BoolReader, BoolWriter
 from ..operators import tokens
 from ..sources import dispatch, gop_container, mp4, mpeg_ps, nal, obu, raw, webm
-from ..sources.bits import BitWriter
+from ..sources.bits import Bits, BitWriter
 from ..sources.packets import muxed, scan
 from . import pixel_queries, stream_queries, token_queries
 from .registry import query, table
@@ -219,6 +219,53 @@ def h264_parameter_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", "p_size").mapInArrow(run, "p_partkey long, profile long, width long, height long, frame_num_bits long, ref_frames long, qp long, slice_type long, frame_num long, slice_qp long")
 
 
+@query("scaling_lists", "P14", """WITH l AS (SELECT p_partkey, i, (p_partkey >> i) & 1 AS sent, (p_partkey + 7 * i) % 41 AS v, CASE WHEN i < 6 THEN 16 ELSE 64 END AS n, CASE WHEN i < 6 THEN i // 3 ELSE i END AS kind,
+  CASE WHEN i < 3 THEN 416 WHEN i < 6 THEN 369 WHEN i = 6 THEN 1680 ELSE 1507 END AS standard FROM part, (SELECT unnest(range(8)) AS i)),
+o AS (SELECT *, CASE WHEN sent = 1 AND v > 0 THEN v * n WHEN sent = 1 OR i IN (0, 3, 6, 7) THEN standard END AS own FROM l)
+SELECT p_partkey, i AS list, last_value(own IGNORE NULLS) OVER (PARTITION BY p_partkey, kind ORDER BY i) AS total FROM o""")
+def scaling_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of the scaling lists of High profile parameter sets: sent, left to the standard, or taken from the list before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = b.column(0).to_pylist()
+            totals = []
+            for k in keys:
+                sps = BitWriter().u(100, 8).u(0, 8).u(30, 8).ue(0).ue(1).ue(0).ue(0).u(0, 1).u(1, 1)
+                for i in range(8):
+                    sps.u(k >> i & 1, 1)
+                    if k >> i & 1:
+                        v = (k + 7 * i) % 41
+                        sps.se(v - 8)
+                        for _ in range((16 if i < 6 else 64) - 1 if v else 0):
+                            sps.se(0)
+                sps.ue(0).ue(2).ue(1).u(0, 1).ue(3).ue(3).u(1, 1).u(1, 1).u(0, 1).u(0, 1)
+                totals += [sum(x) for x in nal.resolved_lists(nal.parse_sps(sps.bytes(stop=True))["lists"])[:8]]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k in keys for _ in range(8)], pa.int64()), pa.array(list(range(8)) * len(keys), pa.int64()), pa.array(totals, pa.int64())], names=["p_partkey", "list", "total"])
+
+    return table(spark, sf_dir, "part").select("p_partkey").mapInArrow(run, "p_partkey long, list long, total long")
+
+
+@query("av1_bit_codes", "F2", "SELECT p_partkey, CASE WHEN p_partkey % 128 < 64 THEN p_partkey % 128 ELSE p_partkey % 128 - 128 END AS su, p_partkey * 7 % 5000 AS uvlc, p_partkey % p_size AS ns FROM part")
+def av1_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signed, variable length and non-symmetric codes, spelt out as text of bits and read back."""
+    v, below = "(p_partkey * 7 % 5000 + 1)", "length(bin(p_size))"
+    short = f"(shiftleft(1L, {below}) - p_size)"
+    padded = "CASE WHEN {n} = 0 THEN '' ELSE lpad(bin({v}), {n}, '0') END"
+    narrow, wide = padded.format(v="p_partkey % p_size", n=f"({below} - 1)"), padded.format(v=f"p_partkey % p_size + {short}", n=below)
+    bits = f"concat(lpad(bin(p_partkey % 128), 7, '0'), repeat('0', length(bin({v})) - 1), bin({v}), CASE WHEN p_partkey % p_size < {short} THEN {narrow} ELSE {wide} END)"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for k, size, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                read = Bits(BitWriter().u(int(text, 2), len(text)).bytes())
+                out.append((k, read.su(7), read.uvlc(), read.ns(size)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], names=["p_partkey", "su", "uvlc", "ns"])
+
+    return table(spark, sf_dir, "part").selectExpr("p_partkey", "p_size", f"{bits} AS bits").mapInArrow(run, "p_partkey long, su long, uvlc long, ns long")
+
+
 @query("yuv_scan", "S17 P2", f"WITH {pixel_queries.SYNTH} SELECT n, count(*) AS bytes, CAST(sum(v) AS BIGINT) AS total FROM px GROUP BY n")
 def yuv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Planar frames from one file's bytes by SQL functions; the luma of each is summed."""
