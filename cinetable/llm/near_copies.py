@@ -3,8 +3,8 @@
 Texts whose SimHash fingerprints (of two-word shingles, repeats included) differ in `max_bits` bits at most are
 candidates, found by the grid range join of `simhash`; texts that chains of candidates connect are a candidate class.
 Two texts of one class link if their sets of lower-cased five-word shingles have Jaccard similarity 0.8 or more. Fewer
-words than a shingle are one shingle. Of all pairs of 0.8 or more, nine bits alone hold 0.97 (measured); a group of
-copies needs one chain only. What is lost are pairs that no chain connects.
+words than a shingle are one shingle. Nine bits held 0.97 of the pairs of 0.8 or more that a wider
+search of fingerprints found; a group of copies needs one chain only. What is lost are pairs that no chain connects.
 
 A class is cut into chunks by rows and by bytes, and each pair of chunks is a task of its own that compares sets
 exactly. Rows that are in one tree already aren't compared again, and a task returns a spanning forest, so a large
