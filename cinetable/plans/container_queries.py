@@ -181,16 +181,19 @@ def obu_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("vp8_headers", "P11", """SELECT p_partkey, p_partkey % 4 = 0 AS is_key, p_partkey % 3 AS version, p_partkey % 5 <> 0 AS shown, p_partkey * 7 AS first_part, CASE WHEN p_partkey % 4 = 0 THEN TRUE END AS start_code,
   CASE WHEN p_partkey % 4 = 0 THEN p_size * 16 END AS width, CASE WHEN p_partkey % 4 = 0 THEN p_partkey % 4 END AS scale_x, CASE WHEN p_partkey % 4 = 0 THEN p_size * 9 END AS height, CASE WHEN p_partkey % 4 = 0 THEN p_size % 4 END AS scale_y FROM part""")
 def vp8_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tag's size has 19 bits; what a made-up size has beyond them goes beside the header."""
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for k, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                tag = (k % 4 != 0) | (k % 3) << 1 | (k % 5 != 0) << 4 | k * 7 << 5
+                tag = (k % 4 != 0) | (k % 3) << 1 | (k % 5 != 0) << 4 | k * 7 % (1 << 19) << 5
                 rows.append(tag.to_bytes(3, "little") + (b"\x9d\x01\x2a" + (s * 16 | (k % 4) << 14).to_bytes(2, "little") + (s * 9 | (s % 4) << 14).to_bytes(2, "little") if k % 4 == 0 else b"rest"))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], names=["p_partkey", "data"])
 
     made = table(spark, sf_dir, "part").select("p_partkey", "p_size").mapInArrow(build, "p_partkey long, data binary")
-    return made.select("p_partkey", raw.vp8_tag(F.col("data")).alias("h")).select("p_partkey", "h.*")
+    beyond = F.shiftright(F.col("p_partkey") * 7, 19) * (1 << 19)
+    return made.select("p_partkey", raw.vp8_tag(F.col("data")).alias("h")).select("p_partkey", F.col("h").withField("first_part", F.col("h.first_part") + beyond).alias("h")).select("p_partkey", "h.*")
 
 
 @query("h264_parameter_sets", "P4 P5 P8", """SELECT p_partkey, 66 AS profile, p_size * 16 - 2 * (p_partkey % 4) AS width, (p_size + 3) * 16 - 2 * (p_partkey % 3) AS height, 4 + p_partkey % 5 AS frame_num_bits, p_partkey % 16 AS ref_frames,
