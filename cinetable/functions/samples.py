@@ -21,6 +21,12 @@ def rgba(y: Column, cb: Column, cr: Column) -> list[Column]:
     return [F.shiftright(clamp(c, 0, 0xFF0000), 16).cast("int").alias(k) for k, c in mixed.items()] + [F.lit(255).alias("a")]
 
 
+def scaled(v: Column, by: int) -> Column:
+    """v times a whole number in v's own precision: Spark alone would widen a float to double, and a product near a
+    whole number then has another floor."""
+    return v * F.lit(by).cast("float")
+
+
 def psnr(sse: Column, n: Column, when_exact: float = float("inf")) -> Column:
     """Peak signal-to-noise ratio in dB; equal planes give `when_exact`."""
     return F.when(sse == 0, F.lit(when_exact)).otherwise(F.log10(F.lit(65025.0) * n / sse) * 10)

@@ -159,7 +159,7 @@ def dead_zone_quant(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT a.vec_id, CAST(sum((a.v - b.v) * (a.v - b.v)) AS BIGINT) AS sse, count(*) AS samples FROM a JOIN a b ON b.vec_id = a.vec_id + 1 AND b.i = a.i GROUP BY 1""")
 def vector_sse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector against the next, as sample arrays: element-wise without exploding."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda f: F.floor(f * 100)).alias("a"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda f: F.floor(samples.scaled(f, 100))).alias("a"))
     after = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b"))
     e = F.zip_with("a", "b", lambda x, y: (x - y) * (x - y))
     return rows.join(after, "vec_id").select("vec_id", F.aggregate(e, F.lit(0).cast("long"), lambda acc, x: acc + x).alias("sse"), F.size("a").cast("long").alias("samples"))
