@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import h264, prediction
+from ..functions.samples import scaled
 from ..operators import motion, references
 from . import codec_queries
 from .block_queries import _LEVELS, _four, blocks
@@ -16,7 +17,7 @@ _SAMPLES = "e AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(least(
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id and s: 64 samples from each vector."""
-    byte = F.transform("embedding", lambda v: prediction.byte(F.floor(v * 200) + 128))
+    byte = F.transform("embedding", lambda v: prediction.byte(F.floor(scaled(v, 200)) + 128))
     return table(spark, sf_dir, "embeddings").select("vec_id", byte.alias("s"))
 
 

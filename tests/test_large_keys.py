@@ -5,8 +5,10 @@ from __future__ import annotations
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import SparkSession
 
 from cinetable.plans import catalogue
@@ -27,3 +29,15 @@ def test_vp8_sizes_beyond_19_bits(spark: SparkSession, tmp_path: Path) -> None:
     keys = [74_896, 74_898, 74_899, 74_900, 1_199_996, 1_199_999, 7_200_000, 1 << 40]
     got, want = differs(spark, tmp_path, "part", pa.table({"p_partkey": keys, "p_size": pa.array([50] * len(keys), pa.int32())}), "vp8_headers")
     assert got == want and len(got) == len(keys)
+
+
+@pytest.mark.parametrize("name", ["h264_intra_4x4", "vp8_intra_4x4", "intra_16x16", "vector_sse"])
+def test_products_keep_the_precision_of_floats(spark: SparkSession, tmp_path: Path, name: str) -> None:
+    """Values next to a hundredth or two-hundredth, whose products are whole as floats but not as doubles."""
+    near = [np.nextafter(np.float32(n / by), np.float32(to)) for by in (100, 200) for n in range(-60, 61) for to in (-9, 9)]
+    near = [v for v in near if any(np.floor(v * np.float32(by)) != np.floor(float(v) * by) for by in (100, 200))]
+    assert near
+    vectors = [[near[(3 * i + k) % len(near)] for k in range(64)] for i in range(5)] + [[np.float32(0.1)] * 64]
+    data = pa.table({"vec_id": list(range(6)), "embedding": pa.array(vectors, pa.list_(pa.float32()))})
+    got, want = differs(spark, tmp_path, "embeddings", data, name)
+    assert got == want and got
