@@ -41,3 +41,10 @@ def test_products_keep_the_precision_of_floats(spark: SparkSession, tmp_path: Pa
     data = pa.table({"vec_id": list(range(6)), "embedding": pa.array(vectors, pa.list_(pa.float32()))})
     got, want = differs(spark, tmp_path, "embeddings", data, name)
     assert got == want and got
+
+
+@pytest.mark.parametrize("name", ["nal_split", "start_code_split", "obu_split"])
+def test_lines_keep_zeros_and_guards(spark: SparkSession, tmp_path: Path, name: str) -> None:
+    texts = ["one\0\ntwo\0\0\n\0\n\0\0\0\0\n\nlast", "a\0\0\1b\0\0\3\n\3\0\0\3", "\x80\n\0\x80", "", None]
+    got, want = differs(spark, tmp_path, "documents", pa.table({"doc_id": list(range(len(texts))), "text": texts}), name)
+    assert got == want and len(got) == 9
