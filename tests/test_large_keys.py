@@ -9,8 +9,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import SparkSession
 
+from cinetable.functions import rans
+from cinetable.functions.bool_coder import BoolReader, BoolWriter
 from cinetable.plans import catalogue
 
 
@@ -48,3 +52,42 @@ def test_lines_keep_zeros_and_guards(spark: SparkSession, tmp_path: Path, name:
     texts = ["one\0\ntwo\0\0\n\0\n\0\0\0\0\n\nlast", "a\0\0\1b\0\0\3\n\3\0\0\3", "\x80\n\0\x80", "", None]
     got, want = differs(spark, tmp_path, "documents", pa.table({"doc_id": list(range(len(texts))), "text": texts}), name)
     assert got == want and len(got) == 9
+
+
+@pytest.mark.parametrize("name", ["rans_roundtrip", "bool_coder_roundtrip"])
+def test_coders_take_documents_without_a_language(spark: SparkSession, tmp_path: Path, name: str) -> None:
+    texts = ["a bb  ccc", "", None, "x" * 40, " ", "a b", "one two three"]
+    data = pa.table({"doc_id": [1, 2, 3, 4, 5, 1, 7], "lang": ["en", "en", "de", None, None, "en", "fr"], "source": ["s"] * 7, "text": texts})
+    got, want = differs(spark, tmp_path, "documents", data, name)
+    assert got == want and got
+
+
+def test_a_language_is_not_one_task(spark: SparkSession) -> None:
+    """Tables of a language go to its documents, whatever may be broadcast otherwise: no document goes through an exchange."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalogue.QUERIES["rans_roundtrip"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "collect_list(sym" not in plan
+
+
+def test_the_boolean_coder_keeps_little_and_carries() -> None:
+    rng = np.random.default_rng(5)
+    for chance in (0.02, 0.5, 0.98):
+        bits, probs = (rng.random(20_000) < chance).astype(int).tolist(), [1, 254, 128, 255]
+        one, many = BoolWriter(), BoolWriter()
+        for i, b in enumerate(bits):
+            one.bit(b, probs[i % 4])
+        many.run(bits, probs)
+        assert one.low.bit_length() < 600 and one.bytes() == many.bytes()
+        reader = BoolReader(one.bytes())
+        assert BoolReader(one.bytes()).run(len(bits), probs) == bits == [reader.bit(probs[i % 4]) for i in range(len(bits))]
+
+
+@given(st.lists(st.integers(0, 3), max_size=300))
+def test_one_context_codes_as_many_do(symbols: list[int]) -> None:
+    table = rans.Table([4000, 90, 5, 1])
+    data = rans.encode([(0, s) for s in symbols], [table])
+    assert rans.encode_all(symbols, table) == data and rans.decode_all(data, table, len(symbols)) == symbols
