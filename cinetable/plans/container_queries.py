@@ -18,6 +18,7 @@ from ..functions import rans, timing
 from ..functions.bool_coder import BoolReader, BoolWriter
 from ..operators import tokens
 from ..sources import dispatch, gop_container, mp4, mpeg_ps, nal, obu, raw, webm
+from ..sources.batches import slices
 from ..sources.bits import Bits, BitWriter
 from ..sources.packets import muxed, scan
 from . import pixel_queries, stream_queries, token_queries
@@ -149,7 +150,7 @@ def _unit_packets(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     line aren't taken for padding."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 1):
             rows = []
             for text in b.column(1).to_pylist():
                 lines = [line.encode() for line in text.split("\n") if line]

@@ -16,6 +16,7 @@ from pyspark.sql import SparkSession
 from cinetable.functions import rans
 from cinetable.functions.bool_coder import BoolReader, BoolWriter
 from cinetable.plans import catalogue
+from cinetable.sources.batches import slices
 
 
 def differs(spark: SparkSession, folder: Path, table: str, data: pa.Table, name: str) -> tuple[list, list]:
@@ -91,3 +92,12 @@ def test_one_context_codes_as_many_do(symbols: list[int]) -> None:
     table = rans.Table([4000, 90, 5, 1])
     data = rans.encode([(0, s) for s in symbols], [table])
     assert rans.encode_all(symbols, table) == data and rans.decode_all(data, table, len(symbols)) == symbols
+
+
+def test_units_leave_in_small_batches() -> None:
+    """A batch of many packets is cut before objects are made of it, and a large packet stays whole."""
+    data = [bytes(300_000), None, b"", bytes(900_000), bytes(5_000_000), b"x"] + [b"y"] * 2500
+    batch = pa.record_batch({"seq": list(range(len(data))), "data": pa.array(data, pa.binary())})
+    cut = list(slices(iter([batch, batch.slice(0, 0)]), 1))
+    assert pa.Table.from_batches(cut).equals(pa.Table.from_batches([batch]))
+    assert [b.num_rows for b in cut] == [3, 1, 1, 1000, 1000, 501]
