@@ -16,7 +16,7 @@ from ..sources.bits import BitWriter
 from ..sources.packets import muxed, scan
 from ..streaming import player
 from . import pixel_queries, stream_queries
-from .registry import query, table
+from .registry import parts, query, table
 
 _G = "WITH " + stream_queries.PACKETS + ", g AS (SELECT *, CAST(sum(CAST(is_key AS INT)) OVER (PARTITION BY clip_id ORDER BY seq) AS BIGINT) AS gop_id FROM p)"
 
@@ -141,7 +141,7 @@ def av1_sequence_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
             kinds = [pa.int64()] * 5 + [pa.bool_(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["p_partkey", "profile", "width", "height", "level", "superblock_128", "order_bits"])
 
-    return table(spark, sf_dir, "part").select("p_partkey", "p_size").mapInArrow(run, "p_partkey long, profile long, width long, height long, level long, superblock_128 boolean, order_bits long")
+    return parts(spark, sf_dir, "p_partkey", "p_size").mapInArrow(run, "p_partkey long, profile long, width long, height long, level long, superblock_128 boolean, order_bits long")
 
 
 @query("packet_throughput", "A12", "SELECT user_id AS clip_id, date_trunc('hour', ts) AS start, count(*) AS packets, CAST(sum(CAST(event_type = 'signup' AS INT)) AS BIGINT) AS keys, CAST(sum(octet_length(encode(props))) AS BIGINT) AS bytes FROM events GROUP BY 1, 2")

@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def parts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of `part` for work in Python: rows are few bytes, so files of millions are a task or two unless dealt out."""
+    return table(spark, sf_dir, "part").select(*columns).repartition(2 * spark.sparkContext.defaultParallelism)
+
+
 def query(name: str, covers: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(run: Query) -> Query:
         QUERIES[name], COVERS[name] = run, covers.split()

@@ -17,6 +17,7 @@ from cinetable.functions import rans
 from cinetable.functions.bool_coder import BoolReader, BoolWriter
 from cinetable.plans import catalogue
 from cinetable.sources.batches import slices
+from cinetable.sources.bits import Bits, BitWriter
 
 
 def differs(spark: SparkSession, folder: Path, table: str, data: pa.Table, name: str) -> tuple[list, list]:
@@ -101,3 +102,22 @@ def test_units_leave_in_small_batches() -> None:
     cut = list(slices(iter([batch, batch.slice(0, 0)]), 1))
     assert pa.Table.from_batches(cut).equals(pa.Table.from_batches([batch]))
     assert [b.num_rows for b in cut] == [3, 1, 1, 1000, 1000, 501]
+
+
+@pytest.mark.parametrize("name", ["scaling_lists", "vp8_headers", "packet_headers", "h264_parameter_sets", "av1_bit_codes", "av1_sequence_headers"])
+def test_parts_are_dealt_out(spark: SparkSession, name: str) -> None:
+    """Headers are made and parsed in as many tasks as there are cores, however few files `part` has."""
+    assert catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+@given(st.binary(max_size=12), st.lists(st.integers(0, 1 << 20), max_size=5))
+def test_golomb_codes_end_or_are_refused(data: bytes, values: list[int]) -> None:
+    w = BitWriter()
+    for v in values:
+        w.ue(v)
+    read = Bits(w.bytes(stop=True) + data)
+    assert [read.ue() for _ in values] == values
+    with pytest.raises((EOFError, ValueError)):
+        read = Bits(data)
+        while True:
+            read.ue()
