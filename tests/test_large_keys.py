@@ -17,7 +17,7 @@ from cinetable.functions import rans
 from cinetable.functions.bool_coder import BoolReader, BoolWriter
 from cinetable.plans import catalogue
 from cinetable.sources.batches import slices
-from cinetable.sources.bits import Bits, BitWriter
+from cinetable.sources.bits import Bits, BitWriter, read_leb128
 
 
 def differs(spark: SparkSession, folder: Path, table: str, data: pa.Table, name: str) -> tuple[list, list]:
@@ -121,3 +121,12 @@ def test_golomb_codes_end_or_are_refused(data: bytes, values: list[int]) -> None
         read = Bits(data)
         while True:
             read.ue()
+
+
+def test_base_128_codes_of_five_bytes(spark: SparkSession, tmp_path: Path) -> None:
+    """Codes of 2^28 and more read back as what was coded; the SQL of the query ends at four bytes, within a code."""
+    ids = [0, 1, 64, 4_329_604, 4_329_606, 5_999_998, 5_999_999, 1 << 40]
+    pq.write_table(pa.table({"event_id": ids}), f"{tmp_path}/events.parquet")
+    for r in catalogue.QUERIES["integer_codes"](spark, str(tmp_path)).collect():
+        data = bytes.fromhex(r["leb128"])
+        assert read_leb128(data, 0) == (r["zigzag"], len(data)) and r["back"] == (r["event_id"] * 31 if r["event_id"] % 2 == 0 else -r["event_id"] * 17)
